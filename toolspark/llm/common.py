@@ -130,16 +130,3 @@ def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def word_codes(chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return span_hash(BYTE_CODE[chunk.data], starts, ends)
-
-
-def stack(batches: Iterator[pa.RecordBatch], most: int, weigh) -> Iterator[pa.Table]:
-    """Joins batches until their weight reaches ``most``."""
-    held, weight = [], 0
-    for b in batches:
-        held.append(b)
-        weight += weigh(b)
-        if weight >= most:
-            yield pa.Table.from_batches(held)
-            held, weight = [], 0
-    if held:
-        yield pa.Table.from_batches(held)

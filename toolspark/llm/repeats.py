@@ -3,31 +3,35 @@
 A window (200 bytes, 35 words, ...) is assigned to the symbol at which the least hash of its k-grams sits (the last such, on
 ties). Equal windows have equal least k-grams at equal offsets, so a window can only repeat if its k-gram is chosen twice. The plan:
 
-1. `anchors`: one row for each chosen k-gram and the run of window starts that chose it, about 2 in (window - k) symbols.
-2. the caller keeps the k-grams chosen twice or more (exactly, or by a count-min sketch that may keep more, never less).
-3. `contexts`: for those only, the bytes their run of windows spans. Each task emits a context once; members name it by digest.
-4. contexts meet by k-gram; an exact grouping of the windows in them (suffix array, window table) finds repeats.
-   A context with two members repeats as a whole. A k-gram with more than HOT different contexts is not gathered: its windows
-   are counted one by one, by 128-bit digest, spread over all tasks.
-5. runs of repeated windows go back to the members by digest and to the documents by row key.
-
-No step gathers a key's rows in one task: counts combine before the shuffle, copies of a context fall to one row for each task, and
-joins to members have one row for each key on the other side, which adaptive execution can split.
+1. `anchors`: one row for each chosen k-gram and the run of window starts that chose it, about 2 in (window - k) symbols, with a
+   hash of the context, the symbols which that run of windows spans.
+2. `survivors`: anchors whose k-gram is chosen twice or more. Where all its contexts are alike, all its windows repeat: such anchors
+   need no text. The others are mixed. (A caller may have left out anchors by an estimate that is never too low.)
+3. mixed contexts are counted by k-gram and hash; for one row of each the text is cut out of the documents.
+4. these texts meet by k-gram; an exact grouping of the windows in them (suffix array, window table) finds repeats.
+   A context with two rows repeats as a whole. A k-gram with more than HOT different contexts is not gathered: its windows are counted
+   one by one, by 128-bit digest, spread over all tasks.
+5. runs of repeated windows go back to the anchors by k-gram and hash and to the documents by row key.
+
+No step gathers a key's rows in one task: counts combine before the shuffle, and joins to anchors have few rows for each key on the
+other side, which adaptive execution can split. What is read twice is written to the shared folder, so a lost executor costs a step.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from toolspark.llm.common import BYTE_CODE, Chunk, chunks, mix, powers, row_key, stack, word_codes, words
+from toolspark.llm.common import BYTE_CODE, Chunk, chunks, mix, powers, row_key, shared_dir, span_hash, word_codes, words
 
-HOT = 50_000
+HOT = 8192
 _POS = 24
 _LOW = np.uint64((1 << _POS) - 1)
 
@@ -76,7 +80,7 @@ def symbols(chunk: Chunk, unit: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(texts: DataFrame, unit: str, window: int, k: int) -> DataFrame:
-    """texts(rid, did, text) -> one row (rid, did, gram, lo, hi) for each run of windows."""
+    """texts(rid, did, text) -> one row (rid, did, gram, context, lo, n) for each run of n windows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -84,58 +88,69 @@ def anchors(texts: DataFrame, unit: str, window: int, k: int) -> DataFrame:
             for c in chunks(b.column("text")):
                 codes, bounds = symbols(c, unit)
                 gram, lo, hi = choose(codes, bounds, window, k)
+                context = span_hash(codes, lo, hi + window)
                 row = np.searchsorted(bounds, lo, "right") - 1
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (rid[c.first + row], did[c.first + row], gram.view(np.int64), (lo - bounds[row]), (hi - bounds[row]))], ["rid", "did", "gram", "lo", "hi"])
+                cols = (rid[c.first + row], did[c.first + row], gram.view(np.int64), context.view(np.int64), (lo - bounds[row]), (hi - lo + 1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["rid", "did", "gram", "context", "lo", "n"])
 
-    return texts.select("rid", "did", "text").mapInArrow(run, "rid long, did long, gram long, lo long, hi long")
+    return texts.select("rid", "did", "text").mapInArrow(run, "rid long, did long, gram long, context long, lo long, n int")
 
 
-def contexts(found: DataFrame, texts: DataFrame, unit: str, window: int) -> tuple[DataFrame, DataFrame]:
-    """found: anchors worth a look. -> members(rid, did, gram, cid, lo, n), contexts(gram, cid, text)."""
-    by_row = found.groupBy("rid", "did").agg(F.collect_list(F.struct("gram", "lo", "hi")).alias("runs"))
-    both = texts.join(by_row, ["rid", "did"])
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
 
-    def cut(batches: Iterator[pa.RecordBatch], keep_text: bool) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
+
+def survivors(found: DataFrame, hot: int = HOT) -> DataFrame:
+    """Anchors whose k-gram occurs twice or more, with mixed (its contexts differ) and many (it occurs more than ``hot`` times)."""
+    often = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("context").alias("x"), F.max("context").alias("y")).where("c > 1")
+    often = often.select("gram", (F.col("x") != F.col("y")).alias("mixed"), (F.col("c") > hot).alias("many"))
+    return written(found.join(often, "gram"), "anchors")
+
+
+def shrunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(rid, did, id, z): rows with their texts compressed, for shuffles. The keys are never null; saying so keeps both joins to this on one exchange."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
         for b in batches:
-            rid, did, runs = b.column("rid").to_pylist(), b.column("did").to_pylist(), b.column("runs")
+            for c in chunks(b.column("text"), 4 << 20):
+                part = b.slice(c.first, c.last - c.first)
+                yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("did"), part.column("id"), pa.array([pack(t) for t in c.texts()], pa.binary())], ["rid", "did", "id", "z"])
+
+    return keyed(docs, id_col, text_col).mapInArrow(run, f"rid long, did long, id {kind}, z binary").where("rid is not null and did is not null")
+
+
+def pieces(chosen: DataFrame, small: DataFrame, unit: str, window: int) -> DataFrame:
+    """chosen(rid, did, gram, context, lo, n, whole, crowded) -> (gram, context, whole, crowded, piece)."""
+    both = small.join(chosen.groupBy("rid", "did").agg(F.collect_list(F.struct("gram", "context", "lo", "n", "whole", "crowded")).alias("runs")), ["rid", "did"])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
+        for b in batches:
+            runs, z = b.column("runs"), b.column("z")
             at, flat = runs.offsets.to_numpy(), runs.values
-            gram, lo, hi = (flat.field(i).to_numpy() for i in range(3))
-            texts_ = b.column("text").cast(pa.large_binary()).fill_null(b"")
-            rows: list[tuple] = []
-            held = 0
-            for i in range(b.num_rows):
-                text = texts_[i].as_py()
-                if unit == "word":
-                    text = text.split()
-                p = slice(at[i], at[i + 1])
-                for g, x, y in zip(gram[p].tolist(), lo[p].tolist(), hi[p].tolist(), strict=True):
-                    piece = text[x : y + window] if unit == "byte" else b" ".join(text[x : y + window])
-                    cid = xxhash.xxh3_128_digest(piece)
-                    if not keep_text:
-                        rows.append((rid[i], did[i], g, cid, x, y - x + 1))
-                        held += 80
-                    elif cid not in seen:
-                        if len(seen) >= 200_000:
-                            seen.clear()
-                        seen.add(cid)
-                        rows.append((g, cid, piece))
-                        held += len(piece) + 60
-                if held > 4 << 20:
-                    yield table(rows, keep_text)
-                    rows, held = [], 0
-            if rows:
-                yield table(rows, keep_text)
-
-    def table(rows: list[tuple], keep_text: bool) -> pa.RecordBatch:
-        cols = list(zip(*rows, strict=True))
-        if keep_text:
-            return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.binary())], ["gram", "cid", "piece"])
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.binary() if i == 3 else pa.int64()) for i, c in enumerate(cols)], ["rid", "did", "gram", "cid", "lo", "n"])
-
-    members = both.mapInArrow(lambda bs: cut(bs, False), "rid long, did long, gram long, cid binary, lo long, n long")
-    pieces = both.mapInArrow(lambda bs: cut(bs, True), "gram long, cid binary, piece binary")
-    return members, pieces
+            lo, n = flat.field(2).to_numpy(), flat.field(3).to_numpy()
+            i = 0
+            while i < b.num_rows:
+                out: list[bytes] = []
+                first, size = at[i], 0
+                while i < b.num_rows and size < 4 << 20:
+                    text = unpack(z[i].as_py())
+                    if unit == "word":
+                        text = text.split()
+                    p = slice(at[i], at[i + 1])
+                    new = [text[x : x + m + window - 1] if unit == "byte" else b" ".join(text[x : x + m + window - 1]) for x, m in zip(lo[p].tolist(), n[p].tolist(), strict=True)]
+                    out += new
+                    size += sum(map(len, new))
+                    i += 1
+                part = flat.slice(first, at[i] - first)
+                yield pa.RecordBatch.from_arrays([part.field(0), part.field(1), part.field(4), part.field(5), pa.array(out, pa.binary())], ["gram", "context", "whole", "crowded", "piece"])
+
+    return both.mapInArrow(cut, "gram long, context long, whole boolean, crowded boolean, piece binary")
 
 
 def runs_of(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -149,59 +164,68 @@ def runs_of(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return owner[on[first]], on[first], on[np.append(first[1:], len(on)) - 1]
 
 
-def grouped(pieces: DataFrame, exact: Callable[[list[bytes]], Iterator[tuple[int, int, int]]], most: int = 6 << 20) -> DataFrame:
-    """pieces meet by k-gram; exact(contexts) yields (context, first, last) runs of repeated windows. Whole k-grams are handed over."""
+def grouped(cut: DataFrame, exact: Callable[[list[bytes]], Iterator[tuple[int, int, int]]], most: int = 2 << 20) -> DataFrame:
+    """Pieces meet by k-gram; exact(pieces) yields (piece, first, last) runs of repeated windows. Whole k-grams are handed over.
+
+    -> (gram, context, first, last) for the pieces that do not repeat as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bytes, bytes] = {}
+        keys: list[tuple[int, int, bool]] = []
+        texts: list[bytes] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            ids, texts = list(held), list(held.values())
-            rows = [(ids[c], a, z) for c, a, z in exact(texts)] if len(texts) > 0 else []
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.int64())], ["cid", "first", "last"])
+            rows = [(*keys[c][:2], a, z) for c, a, z in exact(texts) if not keys[c][2]] if texts else []
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["gram", "context", "first", "last"])
 
         for t in batches:
-            for g, cid, piece in zip(t.column("gram").to_pylist(), t.column("cid").to_pylist(), t.column("piece").to_pylist(), strict=True):
+            for g, c, whole, piece in zip(*[t.column(x).to_pylist() for x in ("gram", "context", "whole", "piece")], strict=True):
                 if g != last and size >= most:
                     yield flush()
-                    held, size = {}, 0
+                    keys, texts, size = [], [], 0
                 last = g
-                if cid not in held:
-                    held[cid] = piece
-                    size += len(piece)
+                keys.append((g, c, whole))
+                texts.append(piece)
+                size += len(piece)
         yield flush()
 
-    return pieces.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "cid binary, first long, last long")
+    return cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, context long, first long, last long")
 
 
-def windows_one_by_one(pieces: DataFrame, unit: str, window: int) -> DataFrame:
-    """For k-grams with very many contexts: windows counted by 128-bit digest. -> (cid, first, last)"""
+def windows_one_by_one(cut: DataFrame, unit: str, window: int) -> DataFrame:
+    """For k-grams with very many contexts: windows counted by 128-bit digest. -> (gram, context, first, last)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            for cid, piece in zip(t.column("cid").to_pylist(), t.column("piece").to_pylist(), strict=True):
+            for g, c, piece in zip(*[t.column(x).to_pylist() for x in ("gram", "context", "piece")], strict=True):
                 text = piece if unit == "byte" else piece.split()
                 digests = [xxhash.xxh3_128_digest(text[i : i + window] if unit == "byte" else b" ".join(text[i : i + window])) for i in range(len(text) - window + 1)]
-                yield pa.RecordBatch.from_arrays([pa.array([cid] * len(digests), pa.binary()), pa.array(range(len(digests)), pa.int64()), pa.array(digests, pa.binary())], ["cid", "first", "w"])
+                n = len(digests)
+                yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(digests, pa.binary())], ["gram", "context", "first", "w"])
 
-    each = pieces.mapInArrow(run, "cid binary, first long, w binary").dropDuplicates(["cid", "first"])
+    each = cut.select("gram", "context", "piece").mapInArrow(run, "gram long, context long, first long, w binary")
     often = each.groupBy("w").count().where("count > 1").select("w")
-    return each.join(often, "w", "left_semi").select("cid", "first", F.col("first").alias("last"))
-
-
-def repeated_spans(texts: DataFrame, found: DataFrame, unit: str, window: int, exact, hot: int = HOT) -> DataFrame:
-    """-> (rid, did, spans array<struct<a,z>>): symbol ranges covered by repeated windows; they may overlap."""
-    members, pieces = contexts(found, texts, unit, window)
-    counted = members.groupBy("gram", "cid").agg(F.count("*").alias("copies"), F.first("n").alias("n"))
-    whole = counted.where("copies > 1").select("cid", F.lit(0).cast("long").alias("first"), (F.col("n") - 1).alias("last"))
-    crowded = counted.groupBy("gram").count().where(F.col("count") > hot).select("gram", F.lit(True).alias("crowded"))
-    marked = pieces.join(crowded, "gram", "left")
-    few = grouped(marked.where("crowded is null").select("gram", "cid", "piece"), exact)
-    many = windows_one_by_one(marked.where("crowded").select("cid", "piece"), unit, window)
-    runs = whole.unionByName(few).unionByName(many)
-    spans = members.select("rid", "did", "cid", "lo").join(runs, "cid").select("rid", "did", F.struct((F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last") + window).alias("z")).alias("span"))
-    return spans.groupBy("rid", "did").agg(F.collect_list("span").alias("spans"))
+    return each.join(often, "w", "left_semi").select("gram", "context", "first", F.col("first").alias("last"))
+
+
+def repeated_spans(found: DataFrame, small: DataFrame, unit: str, window: int, exact, hot: int = HOT) -> DataFrame:
+    """found: anchors; small: rows of `shrunk`. -> (rid, did, spans array<struct<a,z>>): symbol ranges covered by repeated windows; they may overlap."""
+    left = survivors(found, hot)
+    mixed = left.where("mixed and gram is not null and context is not null")
+    one = mixed.groupBy("gram", "context").agg(F.min(F.struct("rid", "did", "lo", "n")).alias("r"), (F.count("*") > 1).alias("whole"), F.max("many").alias("many"))
+    chosen = one.select("gram", "context", "whole", "many", "r.rid", "r.did", "r.lo", "r.n")
+    crowded = mixed.where("many").select("gram", "context").distinct().groupBy("gram").count().where(F.col("count") > hot).select("gram").checkpoint()
+    if crowded.isEmpty():
+        cut = pieces(chosen.withColumn("crowded", F.lit(False)), small, unit, window)
+        runs = grouped(cut, exact)
+    else:
+        marked = chosen.join(crowded.withColumn("crowded", F.lit(True)), "gram", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
+        cut = pieces(marked, small, unit, window)
+        runs = grouped(cut.where("not crowded"), exact).unionByName(windows_one_by_one(cut.where("crowded"), unit, window))
+    runs = runs.unionByName(one.where("whole").select("gram", "context", F.lit(0).cast("long").alias("first"), (F.col("r.n") - 1).cast("long").alias("last")))
+    spans = mixed.select("rid", "did", "gram", "context", "lo").join(runs, ["gram", "context"]).select("rid", "did", (F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last") + window).alias("z"))
+    spans = spans.unionByName(left.where("not mixed").select("rid", "did", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + window).alias("z")))
+    return spans.groupBy("rid", "did").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,22 +244,26 @@ def merged(spans: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(spans[first, 0].tolist(), reach[np.append(first[1:], len(spans)) - 1].tolist(), strict=True))
 
 
-def applied(texts: DataFrame, spans: DataFrame, fn: Callable[[bytes, list[tuple[int, int]]], tuple], names: list[str], schema: str) -> DataFrame:
+def applied(small: DataFrame, spans: DataFrame, fn: Callable[[bytes, list[tuple[int, int]]], tuple], names: list[str], schema: str) -> DataFrame:
     """Calls fn(text, merged spans) on every row; schema describes id and fn's fields."""
-    both = texts.join(spans, ["rid", "did"], "left")
+    both = small.join(spans, ["rid", "did"], "left")
     types = [pa.string() if t.split()[-1] == "string" else pa.int64() for t in schema.split(",")][1:]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
-            col = b.column("spans")
+            col, z = b.column("spans"), b.column("z")
             at, flat = col.offsets.to_numpy(), col.values
             az = np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()], 1) if len(flat) else np.zeros((0, 2), np.int64)
-            texts_ = b.column("text").cast(pa.large_binary()).fill_null(b"")
-            rows = [fn(texts_[i].as_py(), merged(az[at[i] : at[i + 1]])) for i in range(b.num_rows)]
-            cols = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
-            yield pa.RecordBatch.from_arrays([b.column("id"), *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]], ["id", *names])
+            i = 0
+            while i < b.num_rows:
+                first, rows, size = i, [], 0
+                while i < b.num_rows and size < 8 << 20:
+                    text = unpack(z[i].as_py())
+                    rows.append(fn(text, merged(az[at[i] : at[i + 1]])))
+                    size += len(text)
+                    i += 1
+                cols = list(zip(*rows, strict=True))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(first, i - first), *[pa.array(list(c), t) for c, t in zip(cols, types, strict=True)]], ["id", *names])
 
     return both.mapInArrow(run, schema)
-
-
-__all__ = ["HOT", "anchors", "applied", "choose", "contexts", "grouped", "keyed", "merged", "repeated_spans", "runs_of", "stack", "symbols"]

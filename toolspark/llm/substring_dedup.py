@@ -78,16 +78,13 @@ def repeated_runs(pieces: list[bytes], window: int = WINDOW) -> Iterator[tuple[i
     yield from zip(who.tolist(), (a - bounds[who]).tolist(), (z - bounds[who]).tolist(), strict=True)
 
 
-def repeated_words(texts: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, width: int = WIDTH, hot: int = repeats.HOT) -> DataFrame:
-    found = estimated_repeated(repeats.anchors(texts, "word", window, gram), depth, width)
-    return repeats.repeated_spans(texts, found, "word", window, lambda p: repeated_runs(p, window), hot)
-
-
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, width: int = WIDTH, hot: int = repeats.HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept (remaining words joined by one space), kept_sha256.
 
     Null text: no words. Rows repeated with one id count as two places. An empty table gives an empty result."""
-    texts = repeats.keyed(docs, id_col, text_col)
+    found = estimated_repeated(repeats.anchors(repeats.keyed(docs, id_col, text_col), "word", window, gram), depth, width)
+    small = repeats.shrunk(docs, id_col, text_col)
+    spans = repeats.repeated_spans(found, small, "word", window, lambda p: repeated_runs(p, window), hot)
 
     def fn(text: bytes, spans: list[tuple[int, int]]) -> tuple:
         words, parts, at = text.split(), [], 0
@@ -98,7 +95,7 @@ def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int =
         return len(words), sum(z - a for a, z in spans), kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return repeats.applied(texts, repeated_words(texts, window, gram, depth, width, hot), fn, ["n_words", "n_removed", "kept", "kept_sha256"], f"id {kind}, n_words long, n_removed long, kept string, kept_sha256 string").withColumnRenamed("id", id_col)
+    return repeats.applied(small, spans, fn, ["n_words", "n_removed", "kept", "kept_sha256"], f"id {kind}, n_words long, n_removed long, kept string, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -157,18 +157,13 @@ def repeated_runs(pieces: list[bytes], depth: int = LENGTH) -> Iterator[tuple[in
     yield from zip(who.tolist(), (a - starts[who]).tolist(), (z - starts[who]).tolist(), strict=True)
 
 
-def repeated_bytes(texts: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = repeats.HOT) -> DataFrame:
-    """texts of `repeats.keyed` -> (rid, did, spans) of bytes covered by repeated strings."""
-    found = repeats.anchors(texts, "byte", length, gram)
-    often = found.groupBy("gram").count().where("count > 1").select("gram")
-    return repeats.repeated_spans(texts, found.join(often, "gram", "left_semi"), "byte", length, lambda p: repeated_runs(p, length), hot)
-
-
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = repeats.HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (the remaining bytes; invalid UTF-8 left by a cut inside a character is replaced), kept_sha256.
 
     Null text: empty, nothing removed. Rows repeated with one id count as two places. An empty table gives an empty result."""
-    texts = repeats.keyed(docs, id_col, text_col)
+    found = repeats.anchors(repeats.keyed(docs, id_col, text_col), "byte", length, gram)
+    small = repeats.shrunk(docs, id_col, text_col)
+    spans = repeats.repeated_spans(found, small, "byte", length, lambda p: repeated_runs(p, length), hot)
 
     def fn(text: bytes, spans: list[tuple[int, int]]) -> tuple:
         parts, at = [], 0
@@ -179,7 +174,7 @@ def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = re
         return len(text), sum(z - a for a, z in spans), len(spans), kept.decode("utf-8", "replace"), hashlib.sha256(kept).hexdigest()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return repeats.applied(texts, repeated_bytes(texts, length, gram, hot), fn, ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"], f"id {kind}, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string").withColumnRenamed("id", id_col)
+    return repeats.applied(small, spans, fn, ["n_bytes", "n_removed", "n_spans", "kept", "kept_sha256"], f"id {kind}, n_bytes long, n_removed long, n_spans long, kept string, kept_sha256 string").withColumnRenamed("id", id_col)
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
