@@ -22,7 +22,13 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
 
 
+#: Rows handed to Python at once where the session has Spark's own default: long texts make larger batches costly in memory.
+BATCH_ROWS = 1024
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
@@ -90,7 +96,7 @@ class Chunk:
         return [whole[a:b] for a, b in zip(o[:-1].tolist(), o[1:].tolist(), strict=True)]
 
 
-def chunks(column: pa.Array, most: int = 2 << 20) -> Iterator[Chunk]:
+def chunks(column: pa.Array, most: int = 1 << 20) -> Iterator[Chunk]:
     """Cuts a string column (null: empty) into runs of rows of about ``most`` bytes; a longer text is a run of its own."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()

@@ -26,7 +26,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from toolspark.llm.common import BYTE_CODE, Chunk, chunks, mix, powers, row_key, shared_dir, span_hash, word_codes, words
@@ -103,11 +103,16 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def turned(name: str) -> Column:
+    """A key as distinct as the column. A join of counts on it deals them out once more, and then a task with a hot key can be split."""
+    return F.col(name).bitwiseXOR(F.lit(1))
+
+
 def survivors(found: DataFrame, hot: int = HOT) -> DataFrame:
     """Anchors whose k-gram occurs twice or more, with mixed (its contexts differ) and many (it occurs more than ``hot`` times)."""
     often = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("context").alias("x"), F.max("context").alias("y")).where("c > 1")
-    often = often.select("gram", (F.col("x") != F.col("y")).alias("mixed"), (F.col("c") > hot).alias("many"))
-    return written(found.join(often, "gram"), "anchors")
+    often = often.select(turned("gram").alias("key"), (F.col("x") != F.col("y")).alias("mixed"), (F.col("c") > hot).alias("many"))
+    return written(found.withColumn("key", turned("gram")).join(often, "key").drop("key"), "anchors")
 
 
 def shrunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

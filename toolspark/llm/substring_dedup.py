@@ -38,8 +38,8 @@ def estimated_repeated(anchors: DataFrame, depth: int = DEPTH, width: int = WIDT
     """anchors whose least cell over all sketch rows counts two or more."""
     out = anchors
     for row in range(depth):
-        often = sketch(out if row else anchors, row, width).where("count > 1").select("cell")
-        out = out.withColumn("cell", cell(row, width)).join(often, "cell", "left_semi").drop("cell")
+        often = sketch(out, row, width).where("count > 1").select(repeats.turned("cell").alias("key"))
+        out = out.withColumn("cell", cell(row, width)).withColumn("key", repeats.turned("cell")).join(often, "key", "left_semi").drop("cell", "key")
     return out
 
 
