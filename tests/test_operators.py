@@ -1,0 +1,82 @@
+"""DataFrame operators and queries, against SQL over the same tables and against the row functions."""
+
+import glob
+import os
+
+import duckdb
+import pandas as pd
+import pytest
+
+import __spark_entry__ as entry
+from toolspark.functions import clean, lenient
+from toolspark.operators import canonical, parse
+from toolspark.plans import queries as library
+from toolspark.plans import render
+from toolspark.streaming import events as streams
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def db():
+    c = duckdb.connect()
+    for p in glob.glob(f"{DATA}/*.parquet"):
+        c.execute(f"create view {os.path.basename(p)[:-8]} as select * from read_parquet('{p}')")
+    return c
+
+
+def rows(t: pd.DataFrame) -> list[tuple]:
+    return sorted(tuple("NULL" if v is None or v is pd.NA or v != v else str(v) for v in r) for r in t[sorted(t.columns)].itertuples(index=False))
+
+
+@pytest.mark.parametrize("name", sorted(library.ORACLES))
+def test_query_equals_its_sql(spark, db, name):
+    assert rows(library.QUERIES[name](spark, DATA).toPandas()) == rows(db.execute(library.ORACLES[name]).fetchdf())
+
+
+def test_entry(spark):
+    assert entry.entry(spark).count() == 2
+    assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_parsing_is_narrow(spark):
+    e = library._mixed(spark, DATA)
+    plan = parse.parse_tool_calls(e)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+TEXTS = ["a <think>x</think> b", "<think>open <tool_call>", "plain", "", None, "<thought>a</thought><think>b", "<think>x</think>"]
+
+
+def test_strip_thinking_agrees_with_the_row_function(spark):
+    df = spark.createDataFrame(list(enumerate(TEXTS)), "i int, text string")
+    got = {r.i: r.t for r in df.select("i", parse.strip_thinking(df.text).alias("t")).collect()}
+    assert got == {i: None if t is None else clean.strip_thinking(t) for i, t in enumerate(TEXTS)}
+
+
+def test_canonical_json_agrees_with_the_row_function(spark):
+    texts = ['{"b":1,"a":2}', "[1, 2]", '{"a":1.0}', '{"a":1,"a":2}', " x ", "{bad", '{"é":"ü","z":null}', '{"a":"\\u00e9"}', ""]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, text string")
+    got = {r.i: r.t for r in df.select("i", canonical.canonical_json(df.text).alias("t")).collect()}
+    assert got == {i: lenient.canonical_text(t) for i, t in enumerate(texts)}
+
+
+def test_strict_parsing_fails(spark):
+    df = spark.createDataFrame([(1, "no call")], "i int, text string")
+    assert parse.parse_tool_calls(df).count() == 0
+    with pytest.raises(Exception, match="No recognized tool call"):
+        parse.parse_tool_calls(df, strict=True).collect()
+
+
+def test_stream_waits_for_order_and_survives_batches(spark, tmp_path):
+    body = render.TEMPLATES["dsml"].replace("NAME", "lookup").replace("USER", "7").replace("PROPS", '{"k": 3}')
+    cut = [body[i : i + 9] for i in range(0, len(body), 9)]
+    data = [(f"s{s}", i, c, i == len(cut) - 1) for s in range(3) for i, c in enumerate(cut)]
+    src = tmp_path / "in"
+    for n, part in enumerate((data[1::2], data[::2])):  # odd chunks come first
+        spark.createDataFrame(part, "stream_id string, seq long, chunk string, is_last boolean").coalesce(1).write.mode("append").json(str(src))
+    chunks = spark.readStream.schema("stream_id string, seq long, chunk string, is_last boolean").option("maxFilesPerTrigger", 1).json(str(src))
+    q = streams.parsed_stream(chunks).writeStream.format("memory").queryName("tool_events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    done = spark.sql("select * from tool_events where event_type = 'tool_call_completed'").collect()
+    assert sorted((r.stream_id, r.name, r.args_json) for r in done) == [(f"s{s}", "lookup", '{"props":{"k":3},"user":"7"}') for s in range(3)]

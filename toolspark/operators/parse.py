@@ -15,13 +15,16 @@ RAW = StructType([StructField(n, StringType()) for n in ("name", "raw_args", "ra
 
 
 def text_map(fn, returns):
-    """A vectorised UDF that maps fn over a text column; null stays null."""
+    """A vectorised UDF that maps fn over a text column; null stays null, a struct of nulls where fn gives structs."""
+    names = returns.names if isinstance(returns, StructType) else None
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(lambda x: None if x is None else fn(x))
+    def run(s):
+        out = s.map(lambda x: None if x is None else fn(x))
+        return pd.DataFrame([dict.fromkeys(names) if x is None else x for x in out], columns=names) if names else out
 
-    run.__annotations__ = {"s": pd.Series, "return": pd.Series}
-    return F.pandas_udf(run, returns)
+    run.__annotations__ = {"s": pd.Series, "return": pd.DataFrame if names else pd.Series}
+    # said to vary so that no rule evaluates it twice (a filter inferred from an explode would)
+    return F.pandas_udf(run, returns).asNondeterministic()
 
 
 def may_hold_calls(text: Column, cfg: ParserConfig) -> Column:

@@ -71,11 +71,11 @@ def mixed_dialect_category_counts(spark, d):
     return calls.groupBy(semantics.category(F.col("name"), semantics.command_of(F.col("args_json"))).alias("category")).agg(F.count("*").alias("calls"), F.countDistinct("user_id").alias("users"))
 
 
-@query(f"select {_NAME} as name, {_CATEGORY} category, event_id % 12 dialect_no, count(*) calls from events group by grouping sets ((event_type, event_id % 12), (event_type), ())".replace(f"select {_NAME} as name, {_CATEGORY} category", f"select case when event_type is null then null else {_NAME} end as name, case when event_type is null then null else {_CATEGORY} end category"))
+@query(f"select {_NAME} as name, {_CATEGORY} category, case when event_id % 12 is null then 'all' else cast(event_id % 12 as varchar) end dialect_no, count(*) calls from events group by grouping sets ((event_type, event_id % 12), (event_type), ())".replace(f"select {_NAME} as name, {_CATEGORY} category", f"select case when event_type is null then null else {_NAME} end as name, case when event_type is null then null else {_CATEGORY} end category"))
 def rollup_by_dialect(spark, d):
     calls = parse.parse_tool_calls(_mixed(spark, d)).withColumn("dialect_no", F.col("event_id") % 12)
     out = calls.rollup("name", "dialect_no").agg(F.count("*").alias("calls"))
-    return out.select("name", F.when(F.col("name").isNotNull(), semantics.category(F.col("name"))).alias("category"), "dialect_no", "calls")
+    return out.select("name", F.when(F.col("name").isNotNull(), semantics.category(F.col("name"))).alias("category"), F.coalesce(F.col("dialect_no").cast("string"), F.lit("all")).alias("dialect_no"), "calls")
 
 
 @query(f"select {_NAME} as name, count(*) calls from events group by 1 order by calls desc, name limit 3")
@@ -171,11 +171,11 @@ def normalize_args(spark, d):
     return out.select("event_id", *[F.element_at("m", k).alias(k) for k in ("path", "old_str", "other")])
 
 
-@query("select event_id, user_id::bigint as n, null::bigint as bad from events")
+@query("select event_id, user_id::bigint as n, true as left_alone from events")
 def int_coercion(spark, d):
     m = F.create_map(F.lit("limit"), F.concat(F.lit(" "), F.col("user_id").cast("string")), F.lit("offset"), F.concat(F.lit("x"), F.col("event_type")))
     out = _events(spark, d).select("event_id", semantics.int_args(m).alias("m"))
-    return out.select("event_id", F.element_at("m", "limit").alias("n"), F.element_at("m", "offset").alias("bad"))
+    return out.select("event_id", F.element_at("m", "limit").alias("n"), F.element_at("m", "offset").isNull().alias("left_alone"))
 
 
 _CMD = "case event_id % 4 when 0 then 'PyTest -q ' || event_type when 1 then 'echo x > ' || event_type when 2 then 'ls ' || event_type else 'cargo test > log' end"

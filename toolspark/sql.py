@@ -28,5 +28,5 @@ def register(spark: SparkSession) -> None:
 
 
 def engine_info(spark: SparkSession) -> DataFrame:
-    get = lambda k: spark.conf.get(k, "")
+    get = spark.conf.get
     return spark.createDataFrame([(spark.version, get("spark.sql.codegen.wholeStage"), get("spark.sql.adaptive.enabled"), get("spark.sql.execution.arrow.maxRecordsPerBatch"))], "spark string, codegen string, adaptive string, arrow_rows string")
