@@ -205,8 +205,8 @@ def canonicalize_calls_sorted(spark, d):
 
 def _negative(name: str, key: str, text: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        t = table(spark, d, name).select(F.col(text).alias("text"))
-        return t.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size(parse.calls(F.col("text")))), F.lit(0)).cast("long").alias("calls"))
+        t = table(spark, d, name).select(F.size(parse.calls(F.col(text))).alias("c"))
+        return t.agg(F.count("*").alias("n"), F.coalesce(F.sum("c"), F.lit(0)).cast("long").alias("calls"))
 
     query(f"select count(*) n, 0::bigint calls from {name}", f"negative_{name}")(run)
 
