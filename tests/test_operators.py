@@ -40,7 +40,7 @@ def test_entry(spark):
 
 
 def test_parsing_is_narrow(spark):
-    e = library._mixed(spark, DATA)
+    e = spark.range(100, numPartitions=4).selectExpr("concat('{\"tool\": \"f\", \"a\": ', id, '}') text")
     plan = parse.parse_tool_calls(e)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and plan.count("ArrowEvalPython") == 1
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from toolspark import sql
 from toolspark.operators import canonical, parse, payloads, relational, semantics
 from toolspark.plans import render
+from toolspark.sources.texts import spread
 from toolspark.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,7 +33,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _events(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events")
+    return spread(table(spark, d, "events"), f"{d}/events.parquet")
 
 
 def _args(c: str = "args_json") -> list:
@@ -98,7 +99,7 @@ def strip_thinking_docs(spark, d):
 
 
 def _orders(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority")
+    return spread(table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderpriority"), f"{d}/orders.parquet")
 
 
 def _damage(name: str, text: Callable, oracle_extra: str = ""):

@@ -14,6 +14,16 @@ def responses(spark: SparkSession, path: str, kind: str = "parquet", text_col: s
     return reader.text(path, wholetext=True).withColumnRenamed("value", text_col) if kind == "text" else reader.format(kind).load(path)
 
 
+def spread(df: DataFrame, path: str, least: int = 1 << 20) -> DataFrame:
+    """df, read from path, on all cores: a small table lies in one file and would be parsed by one task. A table that fills its own partitions
+    (over ``least`` bytes for each core) is left as it is, without a shuffle."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    size = place.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(place).getLength()
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if size < least * cores else df
+
+
 def chunk_stream(spark: SparkSession, path: str, kind: str = "json", files_per_trigger: int = 1000) -> DataFrame:
     return spark.readStream.schema(CHUNKS).format(kind).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
