@@ -118,24 +118,9 @@ def logistic(row: np.ndarray, feature: np.ndarray, n: int, m: int, extra: np.nda
     return w
 
 
-def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, names: list[str], words: int = WORDS, folds: int = FOLDS) -> Chain:
-    """rows: for each document its distinct word codes; labels: a column for each category in order."""
-    n = len(rows)
-    codes = np.concatenate(rows) if n else np.zeros(0, np.uint64)
-    owner = np.repeat(np.arange(n), [len(r) for r in rows])
-    values, inverse, df = np.unique(codes, return_inverse=True, return_counts=True)
-    score = np.zeros(len(values))
-    for k in range(labels.shape[1]):
-        y = labels[:, k]
-        pos = np.bincount(inverse, y[owner], len(values)) if n else np.zeros(0)
-        p, total = y.sum(), max(n, 1)
-        expect = df * p / total
-        score = np.maximum(score, (pos - expect) ** 2 / np.maximum(expect, 1e-9) * (p > 0))
-    score[df < 3] = 0
-    keep = np.sort(np.lexsort((values, -score))[:words])
-    keep = keep[score[keep] > CHI]
-    known = values[keep]
-    row, feature = present(codes, owner, known)
+def fit_rows(row: np.ndarray, feature: np.ndarray, known: np.ndarray, labels: np.ndarray, names: list[str], folds: int = FOLDS) -> Chain:
+    """row, feature: which document has which known feature; labels: a column for each category in order."""
+    n = len(labels)
     m, k_all = len(known), labels.shape[1]
     fold = np.arange(n) % folds
     oof = np.zeros((n, k_all))
@@ -156,32 +141,52 @@ def fit_rows(rows: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, name
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, terms: dict[str, list[str]] | None = None) -> Chain:
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, words: int = WORDS, terms: dict[str, list[str]] | None = None) -> Chain:
     """The chain for `terms`' categories, then ``label_col``. Without labelled rows nothing is toxic."""
     terms = TERMS if terms is None else terms
     pick = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pick.withColumnRenamed(id_col, "id"), "id")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = [*terms, label_col]
+    wanted = [np.array([code(w) for w in ws], np.uint64) for ws in terms.values()]
+    flags = [f"f{k}" for k in range(len(names))]
+
+    def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found: list[np.ndarray] = []
+            y = b.column("y").cast(pa.float64()).to_numpy(zero_copy_only=False) > 0
             for c in chunks(b.column("text")):
                 codes, owner = letters(c)
                 cuts = np.searchsorted(owner, np.arange(len(c.offsets)))
-                found += [np.unique(codes[cuts[i] : cuts[i + 1]]) for i in range(len(c.offsets) - 1)]
-            yield pa.RecordBatch.from_arrays([b.column("id").cast(pa.string()), b.column("y").cast(pa.float64()), pa.array([f.tobytes() for f in found], pa.binary())], ["id", "y", "codes"])
-
-    got = rows.mapInArrow(run, "id string, y double, codes binary").toPandas().sort_values("id", kind="stable")
-    names = [*terms, label_col]
-    if not len(got):
+                found = [np.unique(codes[cuts[i] : cuts[i + 1]]) for i in range(len(c.offsets) - 1)]
+                toxic = y[c.first : c.last]
+                marks = [toxic & np.array([bool(np.isin(w, f).any()) for f in found], bool) for w in wanted] + [toxic]
+                ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(c.first, c.last - c.first).cast(pa.string()), lists, *[pa.array(m.astype(float)) for m in marks]], ["id", "codes", *flags])
+
+    found = rows.mapInArrow(bags, "id string, codes array<long>, " + ", ".join(f"{f} double" for f in flags))
+    total = found.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f), F.lit(0.0)).alias(f) for f in flags]).first()
+    if not total.n:
         return Chain(names, np.zeros(0, np.uint64), np.zeros((len(names), 0)), np.zeros((len(names), len(names))), np.full(len(names), -20.0))
-    bags = [np.frombuffer(c, np.uint64) for c in got["codes"]]
-    y = got["y"].to_numpy() > 0
-    columns = []
-    for ws in terms.values():
-        wanted = np.array([code(w) for w in ws], np.uint64)
-        columns.append(y & np.array([bool(np.isin(wanted, b).any()) for b in bags]))
-    return fit_rows(bags, np.stack([*columns, y], 1).astype(float), names)
+    # chi-square of each word by category, counted on the executors; only the best words come to the driver
+    counts = found.select(F.explode("codes").alias("code"), *flags).groupBy("code").agg(F.count("*").alias("df"), *[F.sum(f).alias(f) for f in flags]).where("df >= 3")
+    expected = {f: F.col("df") * (total[f] / total.n) for f in flags if total[f]}
+    scores = [(F.col(f) - e) ** 2 / e for f, e in expected.items()]
+    best = counts.withColumn("score", F.greatest(*scores, F.lit(0.0))).where(F.col("score") > CHI).orderBy(F.desc("score"), "code").limit(words).select("code").collect()
+    known = np.sort(np.array([r.code for r in best], np.int64).view(np.uint64))
+
+    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lists = b.column("codes")
+            row, feature = present(lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy()), known)
+            cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
+            own = [feature[cuts[i] : cuts[i + 1]].tobytes() for i in range(b.num_rows)]
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(own, pa.binary()), *[b.column(f) for f in flags]], ["id", "own", *flags])
+
+    got = found.mapInArrow(pick, "id string, own binary, " + ", ".join(f"{f} double" for f in flags)).toPandas().sort_values("id", kind="stable")
+    own = [np.frombuffer(x, np.int64) for x in got["own"]]
+    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
+    return fit_rows(row, np.concatenate(own), known, got[flags].to_numpy(), names)
 
 
 def scored(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
