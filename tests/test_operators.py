@@ -2,6 +2,7 @@
 
 import glob
 import os
+import time
 
 import duckdb
 import pandas as pd
@@ -68,15 +69,60 @@ def test_strict_parsing_fails(spark):
         parse.parse_tool_calls(df, strict=True).collect()
 
 
-def test_stream_waits_for_order_and_survives_batches(spark, tmp_path):
+CHUNK = "stream_id string, seq long, chunk string, is_last boolean"
+
+
+def _chunks(ends=True):
     body = render.TEMPLATES["dsml"].replace("NAME", "lookup").replace("USER", "7").replace("PROPS", '{"k": 3}')
     cut = [body[i : i + 9] for i in range(0, len(body), 9)]
-    data = [(f"s{s}", i, c, i == len(cut) - 1) for s in range(3) for i, c in enumerate(cut)]
+    return [(f"s{s}", i, c, ends and i == len(cut) - 1) for s in range(3) for i, c in enumerate(cut)]
+
+
+CALLS = [(f"s{s}", "lookup", '{"props":{"k":3},"user":"7"}') for s in range(3)]
+
+
+def _completed(spark, name):
+    return sorted((r.stream_id, r.name, r.args_json) for r in spark.sql(f"select * from {name} where event_type = 'tool_call_completed'").collect())
+
+
+def test_stream_waits_for_order_and_ends_by_itself_without_a_timer(spark, tmp_path):
+    data, src = _chunks(), tmp_path / "in"
+    for part in (data[1::2], data[::2]):  # odd chunks come first
+        spark.createDataFrame(part, CHUNK).coalesce(1).write.mode("append").json(str(src))
+    chunks = spark.readStream.schema(CHUNK).option("maxFilesPerTrigger", 1).json(str(src))
+    q = streams.parsed_stream(chunks, timeout_ms=None).writeStream.format("memory").queryName("tool_events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    try:
+        assert q.awaitTermination(120)
+    finally:
+        q.stop()
+    assert _completed(spark, "tool_events") == CALLS
+
+
+def test_stream_without_a_last_chunk_ends_by_its_timer(spark, tmp_path):
     src = tmp_path / "in"
-    for n, part in enumerate((data[1::2], data[::2])):  # odd chunks come first
-        spark.createDataFrame(part, "stream_id string, seq long, chunk string, is_last boolean").coalesce(1).write.mode("append").json(str(src))
-    chunks = spark.readStream.schema("stream_id string, seq long, chunk string, is_last boolean").option("maxFilesPerTrigger", 1).json(str(src))
-    q = streams.parsed_stream(chunks).writeStream.format("memory").queryName("tool_events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
-    q.awaitTermination(120)
-    done = spark.sql("select * from tool_events where event_type = 'tool_call_completed'").collect()
-    assert sorted((r.stream_id, r.name, r.args_json) for r in done) == [(f"s{s}", "lookup", '{"props":{"k":3},"user":"7"}') for s in range(3)]
+    spark.createDataFrame(_chunks(ends=False)[:-1], CHUNK).coalesce(1).write.json(str(src))
+    chunks = spark.readStream.schema(CHUNK).json(str(src))
+    q = streams.parsed_stream(chunks, timeout_ms=500).writeStream.format("memory").queryName("late_events").outputMode("append").option("checkpointLocation", str(tmp_path / "cp")).start()
+    try:
+        until = time.time() + 90
+        while len(_completed(spark, "late_events")) < 3 and time.time() < until:
+            assert q.isActive, q.exception()
+            time.sleep(0.5)
+    finally:
+        q.stop()
+    assert _completed(spark, "late_events") == CALLS
+
+
+def test_batches_of_chunks_agree_with_the_parser_and_are_read_in_order(spark):
+    from toolspark.functions.events import StreamParser
+
+    rows = [*reversed(_chunks()), ("empty", 0, None, True), (None, 0, "plain", True)]
+    got = streams.parsed_batch(spark.createDataFrame(rows, CHUNK)).collect()
+    for key in ("s0", "s1", "s2", "empty", None):
+        p, events = StreamParser(None), []
+        for _, _, c, _ in sorted((r for r in rows if r[0] == key), key=lambda r: r[1]):
+            events += p.feed(c or "")
+        events += p.finish()
+        mine = sorted((r for r in got if r.stream_id == key), key=lambda r: r.event_index)
+        assert [(r.event_index, r.event_type, r.text, r.name) for r in mine] == [(i, e.kind, e.text or None, e.name) for i, e in enumerate(events)]
+    assert streams.parsed_batch(spark.createDataFrame([], CHUNK)).collect() == []

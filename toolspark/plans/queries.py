@@ -383,13 +383,14 @@ def sql_table_function(spark, d):
 
 
 def _chunks(spark: SparkSession, d: str, size: int = 11) -> DataFrame:
-    t = _mixed(spark, d).where("event_id % 12 in (0, 1, 2, 4, 5, 6)")
+    text = render.mixed(F.col("event_id"), F.col("event_type"), F.col("user_id"), F.col("props"), render.STREAMED)
+    t = _events(spark, d).select("event_id", text.alias("text"))
     n = F.ceil(F.length("text") / size).cast("int")
     c = t.select(F.col("event_id").cast("string").alias("stream_id"), "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     return c.select("stream_id", F.col("i").cast("long").alias("seq"), F.substr("text", F.col("i") * size + 1, F.lit(size)).alias("chunk"), (F.col("i") == F.col("n") - 1).alias("is_last"))
 
 
-@query(f"select cast(event_id as varchar) stream_id, {_NAME} as name, cast(user_id as varchar) user_text from events where event_id % 12 in (0, 1, 2, 4, 5, 6)")
+@query(f"select cast(event_id as varchar) stream_id, {_NAME} as name, cast(user_id as varchar) user_text from events")
 def stream_events_batch(spark, d):
     e = streams.parsed_batch(_chunks(spark, d)).where("event_type = 'tool_call_completed'")
     return e.select("stream_id", "name", F.get_json_object("args_json", "$.user").alias("user_text"))

@@ -21,6 +21,8 @@ TEMPLATES = {
     "python_call": "NAME(user=USER, props=PROPS)",
 }
 DIALECTS = list(TEMPLATES)
+#: Dialects that a stream shows while it runs; the others are found at its end.
+STREAMED = ["fenced_json", "hermes", "dsml", "qwen_agent", "deepseek", "qwen_xml"]
 
 
 def rendered(dialect: str, name: Column, user: Column, props: Column) -> Column:
@@ -30,9 +32,9 @@ def rendered(dialect: str, name: Column, user: Column, props: Column) -> Column:
     return out
 
 
-def mixed(number: Column, name: Column, user: Column, props: Column) -> Column:
+def mixed(number: Column, name: Column, user: Column, props: Column, dialects: list[str] = DIALECTS) -> Column:
     """The dialect of a row is its number modulo their count."""
     out = F
-    for i, d in enumerate(DIALECTS):
-        out = out.when(number % len(DIALECTS) == i, rendered(d, name, user, props))
+    for i, d in enumerate(dialects):
+        out = out.when(number % len(dialects) == i, rendered(d, name, user, props))
     return out

@@ -1,16 +1,18 @@
 """Streams of text chunks to streams of events, and streams of SSE lines to another protocol's.
 
 Chunks carry (stream_id, seq, chunk, is_last). Spark gives no order within a key, so a chunk waits in the state until all before it came.
-A stream ends with its last chunk, or when its timer runs out.
+A stream ends with its last chunk, or when its timer runs out. Spark runs batches without end for such timers, so a query that is to stop by
+itself (trigger availableNow) takes timeout_ms=None; streams without a last chunk then wait in the state for the next run.
 """
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
@@ -22,6 +24,7 @@ from toolspark.functions.protocols import State, StreamTranslator
 EVENTS = "stream_id string, seq long, event_index int, event_type string, text string, name string, args_json string"
 LINES = "stream_id string, seq long, line_index int, line string"
 _STATE = "next long, waiting string, inner string, emitted int"
+_ARROW = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 TIMEOUT = 600_000
 
 
@@ -29,18 +32,43 @@ def _rows(key: str, seq: int, first: int, events: list[Event]) -> list[tuple[Any
     return [(key, seq, first + i, e.kind, e.text or None, e.name, canonical(e.call.args) if e.call else None) for i, e in enumerate(events)]
 
 
+def _in_order(df: DataFrame, schema: str, start: Callable[[Any], Any], step: Callable[[Any, str], list[Any]], end: Callable[[Any], list[Any]], row: Callable[[Any, int, int, Any], tuple[Any, ...]]) -> DataFrame:
+    """Whole streams of a static table, each read in order of seq. Streams lie one after the other in sorted partitions, so a task holds one stream's parser and never its chunks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = [c.split()[0] for c in schema.split(", ")]
+        kinds = [_ARROW[c.split()[1]] for c in schema.split(", ")]
+        key, state, last, made, out = None, None, 0, 0, []
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+
+        for b in batches:
+            for sid, seq, chunk in zip(*[b.column(c).to_pylist() for c in ("stream_id", "seq", "chunk")], strict=True):
+                if state is None or sid != key:
+                    if state is not None:
+                        out += [row(key, last, made + i, x) for i, x in enumerate(end(state))]
+                    key, state, made = sid, start(sid), 0
+                new = [row(key, seq, made + i, x) for i, x in enumerate(step(state, chunk or ""))]
+                made, last = made + len(new), seq
+                out += new
+                if len(out) >= 4096:
+                    yield batch()
+                    out = []
+        if state is not None:
+            out += [row(key, last, made + i, x) for i, x in enumerate(end(state))]
+        yield batch()
+
+    return df.select("stream_id", "seq", "chunk").repartition("stream_id").sortWithinPartitions("stream_id", "seq").mapInArrow(run, schema)
+
+
 def parsed_batch(df: DataFrame, cfg: ParserConfig | None = None) -> DataFrame:
-    """Events of whole streams in a static table; one group is one stream, whose state is its own text."""
+    """Events of whole streams in a static table."""
+    return _in_order(df, EVENTS, lambda _: StreamParser(cfg), lambda p, c: p.feed(c), lambda p: p.finish(), lambda k, s, i, e: _rows(k, s, i, [e])[0])
 
-    def run(key: tuple[Any, ...], t: pd.DataFrame) -> pd.DataFrame:
-        p, out = StreamParser(cfg), []
-        for r in t.sort_values("seq").itertuples():
-            out += _rows(key[0], r.seq, len(out), p.feed(r.chunk or ""))
-        last = int(t.seq.max())
-        out += _rows(key[0], last, len(out), p.finish())
-        return pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
-    return df.groupBy("stream_id").applyInPandas(run, EVENTS)
+def _timer(timeout_ms: int | None) -> str:
+    return GroupStateTimeout.NoTimeout if timeout_ms is None else GroupStateTimeout.ProcessingTimeTimeout
 
 
 def _ordered(chunks: Iterator[pd.DataFrame], state: GroupState, empty: str) -> tuple[int, dict[int, list[Any]], str, int]:
@@ -51,7 +79,7 @@ def _ordered(chunks: Iterator[pd.DataFrame], state: GroupState, empty: str) -> t
     return nxt, held, inner, emitted
 
 
-def parsed_stream(df: DataFrame, cfg: ParserConfig | None = None, timeout_ms: int = TIMEOUT) -> DataFrame:
+def parsed_stream(df: DataFrame, cfg: ParserConfig | None = None, timeout_ms: int | None = TIMEOUT) -> DataFrame:
     """Events of a streaming table; seq counts from 0 in each stream."""
 
     def run(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -69,13 +97,14 @@ def parsed_stream(df: DataFrame, cfg: ParserConfig | None = None, timeout_ms: in
             state.remove()
         else:
             state.update((nxt, json.dumps(held), json.dumps(p.state()), emitted + len(out)))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
 
-    return df.groupBy("stream_id").applyInPandasWithState(run, EVENTS, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy("stream_id").applyInPandasWithState(run, EVENTS, _STATE, "append", _timer(timeout_ms))
 
 
-def translated_stream(df: DataFrame, source: str, target: str, timeout_ms: int = TIMEOUT) -> DataFrame:
+def translated_stream(df: DataFrame, source: str, target: str, timeout_ms: int | None = TIMEOUT) -> DataFrame:
     """SSE lines (chunk holds a line) of a streaming table from one protocol to another."""
 
     def run(key: tuple[Any, ...], chunks: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -92,17 +121,13 @@ def translated_stream(df: DataFrame, source: str, target: str, timeout_ms: int =
             state.remove()
         else:
             state.update((nxt, json.dumps(held), json.dumps(vars(t.state)), emitted + len(out)))
-            state.setTimeoutDuration(timeout_ms)
+            if timeout_ms is not None:
+                state.setTimeoutDuration(timeout_ms)
         yield pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
 
-    return df.groupBy("stream_id").applyInPandasWithState(run, LINES, _STATE, "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return df.groupBy("stream_id").applyInPandasWithState(run, LINES, _STATE, "append", _timer(timeout_ms))
 
 
 def translated_batch(df: DataFrame, source: str, target: str) -> DataFrame:
-    def run(key: tuple[Any, ...], t: pd.DataFrame) -> pd.DataFrame:
-        tr, out = StreamTranslator(source, target, stream_id=f"msg_{key[0]}"), []
-        for r in t.sort_values("seq").itertuples():
-            out += [(key[0], r.seq, len(out) + i, x) for i, x in enumerate(tr.line(r.chunk or ""))]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in LINES.split(", ")])
-
-    return df.groupBy("stream_id").applyInPandas(run, LINES)
+    """SSE lines of whole streams in a static table from one protocol to another."""
+    return _in_order(df, LINES, lambda k: StreamTranslator(source, target, stream_id=f"msg_{k}"), lambda t, c: t.line(c), lambda _: [], lambda k, s, i, x: (k, s, i, x))
