@@ -198,19 +198,34 @@ def grouped(cut: DataFrame, exact: Callable[[list[bytes]], Iterator[tuple[int, i
 
 
 def windows_one_by_one(cut: DataFrame, unit: str, window: int) -> DataFrame:
-    """For k-grams with very many contexts: windows counted by 128-bit digest. -> (gram, context, first, last)"""
+    """For k-grams with very many contexts: windows counted by 128-bit digest. -> (gram, context, first, last) for the pieces that do not repeat as a whole."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in batches:
-            for g, c, piece in zip(*[t.column(x).to_pylist() for x in ("gram", "context", "piece")], strict=True):
+            for g, c, whole, piece in zip(*[t.column(x).to_pylist() for x in ("gram", "context", "whole", "piece")], strict=True):
                 text = piece if unit == "byte" else piece.split()
                 digests = [xxhash.xxh3_128_digest(text[i : i + window] if unit == "byte" else b" ".join(text[i : i + window])) for i in range(len(text) - window + 1)]
                 n = len(digests)
-                yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array(range(n), pa.int64()), pa.array(digests, pa.binary())], ["gram", "context", "first", "w"])
+                yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array([whole] * n), pa.array(range(n), pa.int64()), pa.array(digests, pa.binary())], ["gram", "context", "whole", "first", "w"])
 
-    each = cut.select("gram", "context", "piece").mapInArrow(run, "gram long, context long, first long, w binary")
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in batches:
+            col = t.column("firsts")
+            owner, at = np.repeat(np.arange(t.num_rows), np.diff(col.offsets.to_numpy())), col.flatten().to_numpy()
+            order = np.lexsort((at, owner))
+            owner, at = owner[order], at[order]
+            new = np.ones(len(at), bool)
+            new[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
+            first = np.flatnonzero(new)
+            last = np.append(first[1:], len(at))[: len(first)] - 1
+            who = pa.array(owner[first])
+            yield pa.RecordBatch.from_arrays([t.column("gram").take(who), t.column("context").take(who), pa.array(at[first]), pa.array(at[last])], ["gram", "context", "first", "last"])
+
+    each = cut.select("gram", "context", "whole", "piece").mapInArrow(run, "gram long, context long, whole boolean, first long, w binary")
     often = each.groupBy("w").count().where("count > 1").select("w")
-    return each.join(often, "w", "left_semi").select("gram", "context", "first", F.col("first").alias("last"))
+    hit = each.where("not whole").join(often, "w", "left_semi")
+    # a piece has no more windows than chose one k-gram, so the list is short
+    return hit.groupBy("gram", "context").agg(F.collect_list("first").alias("firsts")).mapInArrow(joined, "gram long, context long, first long, last long")
 
 
 def repeated_spans(found: DataFrame, small: DataFrame, unit: str, window: int, exact, hot: int = HOT) -> DataFrame:
