@@ -28,7 +28,7 @@ MAX_SHARDS = 4096
 #: Rows of the table of sources, which the driver holds.
 MAX_SOURCES = 1_000_000
 #: Documents in a part of a source over which one running sum goes.
-PART = 2_000
+PART = 500
 
 
 def n_words(text: str | Column) -> Column:
