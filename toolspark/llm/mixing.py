@@ -25,6 +25,8 @@ MOST = 3
 #: Slots of a shard, until there are MAX_SHARDS; then shards grow.
 SLOTS = 4096
 MAX_SHARDS = 4096
+#: Counts by shard and source, which the driver holds: with many sources there are fewer and larger shards.
+MAX_COUNTS = 1 << 20
 #: Rows of the table of sources, which the driver holds.
 MAX_SOURCES = 1_000_000
 #: Documents in a part of a source over which one running sum goes.
@@ -72,10 +74,10 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def shard_counts(quotas: list[int], slots: int, max_shards: int, seed: int) -> np.ndarray:
+def shard_counts(quotas: list[int], slots: int, max_shards: int, seed: int, max_counts: int = MAX_COUNTS) -> np.ndarray:
     """A row for each shard, a column for each source; columns add up to the quotas."""
     left = np.array(quotas, np.int64)
-    shards = max(1, min(max_shards, math.ceil(left.sum() / slots))) if len(left) else 0
+    shards = max(1, min(max_shards, math.ceil(left.sum() / slots), max_counts // len(left))) if len(left) else 0
     rng, out = np.random.default_rng(seed), np.zeros((shards, len(left)), np.int64)
     for s in range(shards):
         size = math.ceil(left.sum() / (shards - s))
