@@ -6,7 +6,8 @@ script, hexadecimal stays hexadecimal, punctuation stays, a card number that pas
 check digits, given names keep the gender their title shows.
 
 Collision check: over all distinct entities, a surrogate that two entities share, or that is itself an entity of the corpus, is drawn again
-with the next attempt number until none is left. Those few later attempts are looked up by entity; all others are recomputed in place.
+with the next attempt number until none is left. Where so many entities share a short form that draws keep colliding, surrogates get
+longer (or leave a private range of addresses), so this ends. Those few later attempts are looked up by entity; all others are recomputed in place.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from toolspark.llm.common import read, row_key, shared_dir
 KEY = "toolspark"
 #: Later attempts up to which they are a map in the plan; beyond, a join.
 IN_PLAN = 500
+#: From this attempt on a surrogate gets one more digit with each attempt, at most MOST_WIDER.
+WIDER, MOST_WIDER = 8, 12
 
 #: fixed values: titles by gender
 TITLES = {"m": ["Mr", "Herr", "Herrn", "Monsieur", "Señor", "Sr", "г-н", "господин"], "f": ["Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "г-жа", "госпожа"], "n": ["Dr", "Prof", "Doktor", "Профессор"]}
@@ -93,9 +96,10 @@ def scramble(v: Column, h: Column) -> Column:
 
 
 def refill(shape: Column, fill: Column) -> Column:
-    """shape with its i-th letter or digit replaced by the i-th character of fill."""
+    """shape with its i-th letter or digit replaced by the i-th character of fill; what is left of fill comes last."""
     plain = lambda s: F.regexp_replace(s, "[^A-Za-z0-9]", "")
-    return let(F.struct(shape.alias("shape"), fill.alias("fill")), lambda s: _each(s["shape"], lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(s["fill"], F.length(plain(F.substr(s["shape"], F.lit(1), i))), F.lit(1))).otherwise(c)))
+    filled = lambda s: _each(s["shape"], lambda c, i: F.when(c.rlike("[A-Za-z0-9]"), F.substr(s["fill"], F.length(plain(F.substr(s["shape"], F.lit(1), i))), F.lit(1))).otherwise(c))
+    return let(F.struct(shape.alias("shape"), fill.alias("fill")), lambda s: F.concat(filled(s), F.substr(s["fill"], F.length(plain(s["shape"])) + 1, F.length(s["fill"]))))
 
 
 def luhn_sum(digits: Column, odd: int) -> Column:
@@ -157,16 +161,17 @@ def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> C
 def _surrogate(kind: Column, value: Column, attempt: Column, h: Column, key: str) -> Column:
     n = lambda i: _number(h, F.lit(i))
     hidden = lambda d: F.concat(let(_digest(F.lit(key), F.lit("domain"), d), lambda g: F.concat(*[_pick("abcdefghijklmnopqrstuvwxyz", _number(g, F.lit(i))) for i in range(1, 9)])), F.when(d.rlike(r"\.org$"), ".example.org").when(d.rlike(r"\.net$"), ".example.net").otherwise(".example.com"))
-    email = F.concat(scramble(F.regexp_extract(value, "^(.*)@", 1), h), F.lit("@"), let(F.regexp_extract(value, "@(.*)$", 1), hidden))
+    wider = F.when(attempt >= WIDER, F.substr(F.regexp_replace(_digest(h), "[^0-9]", ""), F.lit(1), F.least(attempt - WIDER + 1, F.lit(MOST_WIDER)))).otherwise("")
+    email = F.concat(scramble(F.regexp_extract(value, "^(.*)@", 1), h), wider, F.lit("@"), let(F.regexp_extract(value, "@(.*)$", 1), hidden))
     first_octet = let((n(1) % 222 + 1).cast("string"), lambda o: F.when(o.isin("10", "127", "172", "192"), "11").otherwise(o))
     tail = [n(2).cast("string"), n(3).cast("string"), (n(4) % 254 + 1).cast("string")]
-    ip = let(F.regexp_extract(value, r"^(10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", 1), lambda own: F.when(own == "", F.concat_ws(".", first_octet, *tail)).when(F.contains(own, F.lit(".")), F.concat_ws(".", own, *tail[1:])).otherwise(F.concat_ws(".", own, *tail)))
+    ip = let(F.regexp_extract(value, r"^(10|127|192\.168|172\.(?:1[6-9]|2\d|3[01]))\.", 1), lambda own: F.when((own == "") | (attempt >= WIDER), F.concat_ws(".", first_octet, *tail)).when(F.contains(own, F.lit(".")), F.concat_ws(".", own, *tail[1:])).otherwise(F.concat_ws(".", own, *tail)))
     head = lambda v, k: F.substr(v, F.lit(1), F.lit(k))
     rest = lambda v, k: F.substr(v, F.lit(k), F.length(v))
     plain = lambda then: let(scramble(value, h), then)
     checked = lambda stem: F.concat(stem, ((10 - luhn_sum(stem, 0) % 10) % 10).cast("string"))
     card = plain(lambda d: F.when(luhn_sum(value, 1) % 10 == 0, let(F.concat(head(value, 1), F.substr(d, F.lit(2), F.length(d) - 2)), checked)).otherwise(F.concat(head(value, 1), rest(d, 2))))
-    ssn = plain(lambda d: F.concat(F.lit("9"), rest(d, 2)))
+    ssn = plain(lambda d: F.concat(F.lit("9"), rest(d, 2), wider))
     iban = let(scramble(rest(value, 5), h), lambda d: F.concat(head(value, 2), iban_check(head(value, 2), d), d))
 
     def name(script: str, ending: str) -> Column:
@@ -176,10 +181,10 @@ def _surrogate(kind: Column, value: Column, attempt: Column, h: Column, key: str
         return F.concat(more, at(e, F.lit(60)))
 
     out = F.when(kind == "email", email).when(kind == "ip", ip).when(kind == "card", card).when(kind == "ssn", ssn).when(kind == "iban", iban)
-    out = out.when(kind == "secret", let(F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-|xox[abprs]-)", 1), lambda p: F.concat(p, scramble(F.substr(value, F.length(p) + 1, F.length(value)), h))))
+    out = out.when(kind == "secret", let(F.regexp_extract(value, "^(AKIA|gh[pousr]_|sk-|xox[abprs]-)", 1), lambda p: F.concat(p, scramble(F.substr(value, F.length(p) + 1, F.length(value)), h), wider)))
     for k in ("given_m", "given_f", "given_n", "surname"):
         out = out.when(kind == k, F.when(value.rlike(r"\p{IsCyrillic}"), name("cyrillic", k[-1] if k != "surname" else "s")).otherwise(name("latin", k[-1] if k != "surname" else "s")))
-    return out.otherwise(scramble(value, h))
+    return out.otherwise(F.concat(scramble(value, h), wider))
 
 
 def rendered(kind: Column, shown: Column, made: Column) -> Column:
