@@ -176,6 +176,9 @@ def test_targets_and_permutations():
     assert mixing.targets([100, 100, 100], [1, 2, 3]) == [50, 100, 150]
     t = mixing.targets([1000, 1, 1], [1, 2, 3])
     assert t[1:] == [3, 3] and sum(t) == 1002
+    quotas = [int(q) for q in np.random.default_rng(3).integers(0, 40, 5000)]
+    counts = mixing.shard_counts(quotas, 16, 4096, 1, 20_000)
+    assert counts.shape == (4, 5000) and counts.sum(0).tolist() == quotas and counts.min() == 0
     for n in (1, 2, 3, 10, 100, 1000):
         assert sorted(mixing.permute(np.arange(n), np.full(n, n), np.full(n, 5))) == list(range(n))
 
@@ -256,6 +259,17 @@ def test_private_surrogates_stay_distinct(spark):
     assert not {a for a, _ in pairs} & {b for _, b in pairs}
 
 
+def test_private_surrogates_where_short_forms_run_out(spark):
+    phones = [f"+44 {i // 100:02d} {i % 100:02d}" for i in range(6000)]
+    rows = [(i, "; ".join(phones[i : i + 100])) for i in range(0, 6000, 100)]
+    rows += [(7000, ", ".join(f"{c}@some.com" for c in "abcdefghijklmnopqrstuvwxyz")), (7001, ", ".join(f"192.168.{i}.{j}" for i in range(3) for j in range(256)))]
+    found = [x for r in private.replaced(make(spark, rows)).collect() for x in r.private_]
+    pairs = {(x.kind, x.found, x.surrogate) for x in found}
+    assert len(found) == len(pairs) == 6000 + 26 + 768 and len({b for _, _, b in pairs}) == len(pairs)
+    assert not {a for _, a, _ in pairs} & {b for _, _, b in pairs}
+    assert all(re.fullmatch(r"\+44 \d\d \d\d+", b) for k, _, b in pairs if k == "phone")
+
+
 def test_private_is_native(spark):
     plan = private.replaced(make(spark, [(1, "a@b.com")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
