@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from toolspark.llm import components, fingerprints, gbt, html_pages, html_text, mixing, packing, private, quality, repeats, simhash, substring_dedup, suffix_dedup, toxicity
+from toolspark.llm import components, fingerprints, gbt, html_pages, html_text, mixing, near, packing, private, quality, repeats, simhash, substring_dedup, suffix_dedup, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, gram string, id string"
@@ -367,3 +367,34 @@ def test_near_dedup_stage_keeps_null_ids(spark):
     got = corpus_pipeline.near_dedup(spark, docs, DATA).collect()
     assert key((r.doc_id, r.text) for r in got) == key([(2, "alpha beta gamma delta"), (None, "one two three four five"), (3, "q w e r t y")])
     assert got[0].asDict().keys() == set(docs.columns) and docs.select(F.max("doc_id")).first()[0] == 3
+
+
+def test_near_dedup_stage_finds_all_pairs_of_similarity(spark):
+    rng = random.Random(3)
+    say = lambda n: [f"w{rng.randrange(5000)}" for _ in range(n)]
+    rows, line = [], say(30)
+    for g in range(40):
+        base = say(rng.randint(8, 200))
+        for _ in range(rng.randint(1, 4)):
+            copy = list(base)
+            for _ in range(rng.randint(0, 1 + len(copy) // 40)):
+                copy[rng.randrange(len(copy))] = say(1)[0].upper()
+            rows.append((len(rows), " ".join(copy + line * (g % 2))))
+    rows += [(len(rows) + i, t) for i, t in enumerate(["", " ", None, "a b", "A  b", "a b c"])]
+    sets = {i: {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for i, t in rows for w in [(t or "").lower().split()]}
+    root = {i: i for i in sets}
+
+    def top(i):
+        return i if root[i] == i else top(root[i])
+
+    for i in sets:
+        for j in range(i):
+            both = len(sets[i] & sets[j])
+            if 5 * both >= 4 * (len(sets[i]) + len(sets[j]) - both):
+                a, b = sorted((top(i), top(j)))
+                root[b] = a
+    want = {i: top(i) for i in sets}
+    for bucket in (near.BUCKET, 1, 3):
+        assert {r.doc_id: r.component_id for r in near.near_duplicates(make(spark, rows), bucket=bucket).collect()} == want
+    docs = make(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()} == set(want.values())
