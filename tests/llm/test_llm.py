@@ -398,3 +398,14 @@ def test_near_dedup_stage_finds_all_pairs_of_similarity(spark):
         assert {r.doc_id: r.component_id for r in near.near_duplicates(make(spark, rows), bucket=bucket).collect()} == want
     docs = make(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()} == set(want.values())
+
+
+def test_fingerprints_of_plain_texts_tell_them_apart():
+    rng = random.Random(6)
+    texts = ["", "a", "hello world", "hello there", "Not Found", "".join(rng.choice("ACGT") for _ in range(610)), "".join(rng.choice("ACGT") for _ in range(610)), "ha " * 300, "0 1 0 2\n" * 90, "-" * 500]
+    got = fingerprints.chains([t.encode() for t in texts])
+    assert [fingerprints.digest(*c) == "0" for c in got] == [True] + [False] * 9
+    assert len({fingerprints.digest(*c) for c in got}) == len(texts)
+    assert all(fingerprints.likeness(a, b) < 0.9 for i, a in enumerate(got) for b in got[:i]) and all(fingerprints.likeness(a, a) == 1 for a in got)
+    a, b = fingerprints.chains([texts[5].encode(), (texts[5][:450] + texts[6][:160]).encode()])
+    assert fingerprints.likeness(a, b) > 0.4 > fingerprints.likeness(*got[5:7])

@@ -3,7 +3,8 @@
 Every window of 32 bytes gets a rank by how rare its entropy is in running text. In each run of windows the rarest is picked,
 and a window picked often enough by runs that hold it is a feature. Features go into Bloom filters of 256 bytes, a new one chained on
 when the last is full. Two digests are compared filter by filter by the bits they share beyond chance.
-A text is framed by zero bytes, so short texts have windows too.
+A text is framed by zero bytes, so short texts have windows too. Where no window is picked often enough, all distinct windows of a short
+text are its features; of a longer one, those of least hash in each run. So only empty texts have none.
 """
 
 from __future__ import annotations
@@ -87,7 +88,20 @@ def features(texts: list[bytes], window: int = WINDOW, run: int = RUN, picked: i
     np.cumsum(codes * up[: len(codes)], out=total[1:])
     hashes = mix((total[a + window] - total[a]) * down[a])
     cuts = np.searchsorted(o, np.arange(len(texts) + 1))
-    return [hashes[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+    out = [hashes[cuts[i] : cuts[i + 1]] for i in range(len(texts))]
+    for i in np.flatnonzero((np.diff(cuts) == 0) & (count > 0)).tolist():
+        b = np.arange(first[i], first[i] + count[i])
+        out[i] = plain_features(mix((total[b + window] - total[b]) * down[b]), run)
+    return out
+
+
+def plain_features(hashes: np.ndarray, run: int = RUN) -> np.ndarray:
+    """Distinct hashes of a text's windows in order; where they do not fit a filter, the least of each run."""
+    if len(hashes) > FULL:
+        at = np.unique(np.lib.stride_tricks.sliding_window_view(hashes, run).argmin(1) + np.arange(len(hashes) - run + 1))
+        hashes = hashes[at]
+    _, at = np.unique(hashes, return_index=True)
+    return hashes[np.sort(at)]
 
 
 def filters(hashes: np.ndarray, full: int = FULL) -> np.ndarray:
