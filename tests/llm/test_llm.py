@@ -400,6 +400,23 @@ def test_near_dedup_stage_finds_all_pairs_of_similarity(spark):
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()} == set(want.values())
 
 
+def test_private_long_and_plain_secrets_and_long_names(spark):
+    rng = random.Random(4)
+    run = lambda n, of="abcdefghijkmnopqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789": "".join(rng.choice(of) for _ in range(n))
+    jwt, late = run(300) + "." + run(500) + "." + run(101), "x" * 100 + "7abc"
+    keys = ["sk-" + run(120), "ghp_" + run(200), "xoxb-" + run(300), run(400, "0123456789abcdef"), "sk-" + run(30, "abcdef")]
+    rows = [(1, f"access_token: {jwt} end"), (2, f"token = {late}"), (3, 'token = "correct-horse-battery" or'), (4, "password: 'open!sesame'"), (5, 'password = "********" and token = required')]
+    rows += [(10 + i, f"key {k} end") for i, k in enumerate(keys)] + [(20, "Mrs Anna Maria Smith left; Mr. Jean Luc Marc Dupont"), (21, "Dr " + "X" + "y" * 40)]
+    got = {r.doc_id: r for r in private.replaced(make(spark, rows)).collect()}
+    assert re.fullmatch(r"access_token: [^ ]{903} end", got[1].text) and not any(jwt[i : i + 12] in got[1].text for i in range(0, 890, 7))
+    assert "7abc" not in got[2].text and got[5].text == rows[4][1] and not got[5].private_
+    assert re.fullmatch(r'token = "[a-z]{7}-[a-z]{5}-[a-z]{7}" or', got[3].text) and "horse" not in got[3].text
+    assert re.fullmatch(r"password: '[a-z]{4}![a-z]{6}'", got[4].text) and "sesame" not in got[4].text
+    for i, k in enumerate(keys):
+        assert len(got[10 + i].text) == len(k) + 8 and k[-12:] not in got[10 + i].text and [x.kind for x in got[10 + i].private_] == ["secret"]
+    assert re.fullmatch(r"Mrs \w+ \w+ \w+ left; Mr\. \w+ \w+ \w+ \w+", got[20].text) and not re.search("Anna|Maria|Smith|Jean|Luc|Marc|Dupont|y{9}", got[20].text + got[21].text)
+
+
 def test_fingerprints_of_plain_texts_tell_them_apart():
     rng = random.Random(6)
     texts = ["", "a", "hello world", "hello there", "Not Found", "".join(rng.choice("ACGT") for _ in range(610)), "".join(rng.choice("ACGT") for _ in range(610)), "ha " * 300, "0 1 0 2\n" * 90, "-" * 500]

@@ -30,22 +30,24 @@ _no_word = r"(?<![\p{L}\p{N}_])"
 _end = r"(?![\p{L}\p{N}_])"
 _octet = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 _secret_head = r"(?i:[\"']?(?:access[_-]?token|auth[_-]?token|token|client[_-]?secret|secret|passwd|password|pwd|api[_-]?key|access[_-]?key|private[_-]?key)[\"']?\s{0,3}[:=]\s{0,3}[\"']?)"
-_secret_value = r"(?=[A-Za-z0-9_+/.~-]{0,80}\d)[A-Za-z0-9_+/.~-]{8,512}+"
-_name = r"\p{Lu}[\p{L}'’-]{1,30}+"
+# what stands in quotes needs no digit, but a letter or digit
+_quoted = "|".join(rf"(?<={q})(?=[^{q}\s\p{{L}}\p{{N}}]*+[\p{{L}}\p{{N}}])[^{q}\s]{{8,}}+(?={q})" for q in "\"'")
+_secret_value = rf"(?:{_quoted}|(?=[A-Za-z_+/.~-]*+\d)[A-Za-z0-9_+/.~-]{{8,}}+)"
+_name = r"\p{Lu}[\p{L}'’-]++"
 #: Patterns by type, in the order in which they are tried at a place.
 PATTERNS = {
-    "secret": rf"{_no_word}{_secret_head}{_secret_value}|{_no_word}(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{30,80}}|sk-[A-Za-z0-9]{{20,80}}|xox[abprs]-[A-Za-z0-9-]{{10,80}}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{{32,128}}|(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{{32,128}}){_end}",
+    "secret": rf"{_no_word}{_secret_head}{_secret_value}|{_no_word}(?:AKIA[0-9A-Z]{{16}}|gh[pousr]_[A-Za-z0-9]{{30,}}+|sk-[A-Za-z0-9]{{20,}}+|xox[abprs]-[A-Za-z0-9-]{{10,}}|(?=[a-f]*\d)(?=\d*[a-f])[0-9a-f]{{32,}}+|(?=[A-F]*\d)(?=\d*[A-F])[0-9A-F]{{32,}}+){_end}",
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}_%+-][\p{L}\p{N}._%+-]{0,63}+@(?:[\p{L}\p{N}](?:[\p{L}\p{N}-]{0,62}))(?:\.[\p{L}\p{N}-]{1,63}){0,8}\.\p{L}{2,24}" + _end,
     "iban": rf"{_no_word}[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,4}})?{_end}",
     "ip": rf"{_no_word}(?<!\d\.){_octet}(?:\.{_octet}){{3}}(?!\.?\d){_end}",
     "phone": rf"(?<![\p{{L}}\p{{N}}_+])(?:\+\d{{1,3}}[ .-]?(?:\(\d{{1,4}}\)[ .-]?)?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,4}}|\(\d{{3}}\)[ .-]?\d{{3}}[ .-]\d{{4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}){_end}",
     "ssn": rf"{_no_word}\d{{3}}-\d{{2}}-\d{{4}}{_end}",
     "card": rf"{_no_word}(?:\d{{4}}([ -])\d{{4}}\1\d{{4}}\1\d{{1,7}}|\d{{13,19}}){_end}",
-    "name": rf"{_no_word}(?:{_title})\.? {{1,2}}{_name}(?: {_name})?",
+    "name": rf"{_no_word}(?:{_title})\.? {{1,2}}{_name}(?: {_name})*+",
 }
 PATTERN = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: What every entity has: a digit, an @ or a title.
-HINT = rf"[0-9@]|(?=[DFHMPSгП])(?:{_title})\.? "
+#: What every entity has: a digit, an @, a title, the head of a bare key or a label before a quote.
+HINT = rf"[0-9@]|(?=[DFHMPSгП])(?:{_title})\.? |(?=[gsx])(?:gh[pousr]_|sk-|xox[abprs]-)|AKIA|[:=]\s{{0,3}}[\"']"
 
 #: fixed values: syllables and endings of names, by script
 SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ha he ja jo ka ke la le lo ma me mi na ne no pa pe ra re ri ro sa se so ta te to va vi wa".split(), "cyrillic": "ба бе бо ва ве во га го да де до жа за зо ка ке ко ла ле ло ма ме ми на не но па по ра ре ри ро са се со та те то фа".split()}
@@ -124,9 +126,9 @@ def iban_check(country: Column, rest: Column) -> Column:
 def entity(e: Column) -> Column:
     """What a match is: struct(kind, head, units array<struct(kind, shown, value)>); head stays, units are replaced."""
     is_ = lambda p: e.rlike(p)
-    bare = is_("^(?:AKIA[0-9A-Z]{16}|gh[pousr]_|sk-[A-Za-z0-9]{20}|xox[abprs]-|[0-9a-f]{32,128}$|[0-9A-F]{32,128}$)") & is_("[A-Za-z]")
+    bare = is_("^(?:AKIA[0-9A-Z]{16}|gh[pousr]_|sk-[A-Za-z0-9]{20}|xox[abprs]-|[0-9a-f]{32,}$|[0-9A-F]{32,}$)") & is_("[A-Za-z]")
     kind = (
-        F.when(is_(f"^(?:{_title})\\.? "), "name").when(bare, "bare").when(is_(f"^(?:{_secret_head})(?:{_secret_value})$"), "secret").when(F.contains(e, F.lit("@")), "email").when(is_(r"^[A-Z]{2}\d{2}"), "iban")
+        F.when(is_(f"^(?:{_title})\\.? "), "name").when(bare, "bare").when(is_(f"^{_secret_head}"), "secret").when(F.contains(e, F.lit("@")), "email").when(is_(r"^[A-Z]{2}\d{2}"), "iban")
         .when(is_(rf"^{_octet}(?:\.{_octet}){{3}}$"), "ip").when(is_(r"^\d{3}-\d{2}-\d{4}$"), "ssn").when(is_(r"^(?:\d{13,19}|\d{4}[ -]\d{4}[ -]\d{4}[ -]\d{1,7})$"), "card").otherwise("phone")
     )
     heads = lambda k: F.when(k == "name", F.regexp_extract(e, rf"^((?:{_title})\.? {{1,2}})", 1)).when(k == "phone", F.regexp_extract(e, r"^(\+\d{1,3})(?=[ .(-])", 1)).when(k == "secret", F.regexp_extract(e, f"^({_secret_head})", 1)).otherwise("")
@@ -144,7 +146,7 @@ def entity(e: Column) -> Column:
         given = F.regexp_extract(shown, "^(.*) ", 1)
         value = F.when(k == "email", F.lower(shown)).when(k.isin("phone", "card", "ssn", "iban"), F.regexp_replace(shown, "[^A-Za-z0-9]", "")).otherwise(shown)
         return (
-            F.when((k == "name") & F.contains(shown, F.lit(" ")), F.array(unit(F.concat(F.lit("given_"), gender), given, F.lower(given)), surname))
+            F.when((k == "name") & F.contains(shown, F.lit(" ")), F.concat(F.transform(F.split(given, " "), lambda w: unit(F.concat(F.lit("given_"), gender), w, F.lower(w))), F.array(surname)))
             .when(k == "name", F.array(surname))
             .otherwise(F.array(unit(F.when(k == "bare", "secret").otherwise(k), shown, value)))
         )
