@@ -5,6 +5,9 @@ White space is the six bytes of ``[\\x20\\x09-\\x0D]`` everywhere; a word is a m
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,21 +36,36 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; sets one only where none is configured (tests, local mode)."""
+    """The folder all executors see. Where none is set a local session gets a temporary one (tests); a cluster must name its own."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder:
-            import tempfile
-
+            if not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="toolspark-")
         sc.setCheckpointDir(folder)
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def short_lived(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which is removed when the application ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    of = spark._jvm.org.apache.hadoop.fs.Path(path)
+    of.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(of)
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """df as a table in the shared folder: computed once, and safe from lost executors."""
+    path = short_lived(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def row_key(id_col: str = "doc_id", text_col: str = "text") -> list[Column]:
-    """Two longs, never null, that name a row; rows equal in id and text share them, which every user allows for."""
-    return [F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)).alias("rid"), F.coalesce(F.col(id_col).cast("long"), F.lit(-1)).alias("did")]
+    """Two longs, never null, that name a row; rows equal in id and text share them, which every user allows for. Ids are of any simple type."""
+    return [F.xxhash64(F.col(id_col).isNull(), F.col(id_col), F.col(text_col)).alias("rid"), F.coalesce(F.col(id_col).try_cast("long"), F.xxhash64(F.lit(1), F.col(id_col))).alias("did")]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -74,6 +92,42 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def free(df: DataFrame, name: str) -> str:
+    """The name, with as many underscores as make it none of df's columns."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def refuse(df: DataFrame, *names: str) -> None:
+    """ValueError if df has a column of a name that an operator adds."""
+    if clash := {c.lower() for c in df.columns} & set(names):
+        raise ValueError(f"the table already has columns named {sorted(clash)}")
+
+
+def block_hash(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of data[start:end] for spans that do not overlap. Eight bytes at a time are scrambled by their place before they are
+    added up, so no pattern of bytes cancels out as in sums of powers."""
+    sizes = ends - starts
+    blocks = (sizes + 7) // 8
+    if not blocks.sum():
+        return mix(np.full(len(starts), _BASE, np.uint64))
+    owner = np.repeat(np.arange(len(starts)), blocks)
+    turn = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+    at = starts[owner] + 8 * turn
+    left = ends[owner] - at
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    value = np.zeros(len(at), np.uint64)
+    for i in range(8):
+        value |= np.where(left > i, padded[at + i], 0).astype(np.uint64) << np.uint64(8 * i)
+    each = mix(mix(value + (turn.astype(np.uint64) + np.uint64(1)) * np.uint64(_BASE)) + turn.astype(np.uint64))
+    total = np.zeros(len(at) + 1, np.uint64)
+    np.cumsum(each, out=total[1:])
+    last = np.cumsum(blocks)
+    return mix(total[last] - total[last - blocks] + sizes.astype(np.uint64) * np.uint64(_BASE))
+
+
 def span_hash(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of codes[start:end] for every span, by one running sum."""
     up, down = powers(len(codes) + 1)
@@ -135,4 +189,4 @@ def words(chunk: Chunk) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def word_codes(chunk: Chunk, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    return span_hash(BYTE_CODE[chunk.data], starts, ends)
+    return block_hash(chunk.data, starts, ends)

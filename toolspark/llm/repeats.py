@@ -3,14 +3,14 @@
 A window (200 bytes, 35 words, ...) is assigned to the symbol at which the least hash of its k-grams sits (the last such, on
 ties). Equal windows have equal least k-grams at equal offsets, so a window can only repeat if its k-gram is chosen twice. The plan:
 
-1. `anchors`: one row for each chosen k-gram and the run of window starts that chose it, about 2 in (window - k) symbols, with a
+1. `anchors`: one row for each chosen k-gram and the run of window starts that chose it, about 2 in (window - k) symbols, with a 128-bit
    hash of the context, the symbols which that run of windows spans.
 2. `survivors`: anchors whose k-gram is chosen twice or more. Where all its contexts are alike, all its windows repeat: such anchors
    need no text. The others are mixed. (A caller may have left out anchors by an estimate that is never too low.)
 3. mixed contexts are counted by k-gram and hash; for one row of each the text is cut out of the documents.
 4. these texts meet by k-gram; an exact grouping of the windows in them (suffix array, window table) finds repeats.
-   A context with two rows repeats as a whole. A k-gram with more than HOT different contexts is not gathered: its windows are counted
-   one by one, by 128-bit digest, spread over all tasks.
+   A context with two rows repeats as a whole. A k-gram with more than HOT different contexts is not gathered: its texts are searched
+   as a corpus of their own with a longer k-gram, and so on up to the whole window, of which there is one context only.
 5. runs of repeated windows go back to the anchors by k-gram and hash and to the documents by row key.
 
 No step gathers a key's rows in one task: counts combine before the shuffle, and joins to anchors have few rows for each key on the
@@ -19,19 +19,20 @@ other side, which adaptive execution can split. What is read twice is written to
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from toolspark.llm.common import BYTE_CODE, Chunk, chunks, mix, powers, row_key, shared_dir, span_hash, word_codes, words
+from toolspark.llm.common import BYTE_CODE, Chunk, chunks, mix, powers, row_key, span_hash, word_codes, words, written
 
-HOT = 8192
+#: Different contexts of a k-gram that are grouped in one task: about as many as give a suffix array of some tens of MB.
+HOT = 1024
+#: How far a crowded k-gram is lengthened each time: by this share of what is left up to the window.
+LONGER = 0.5
 _POS = 24
 _LOW = np.uint64((1 << _POS) - 1)
 
@@ -80,7 +81,7 @@ def symbols(chunk: Chunk, unit: str) -> tuple[np.ndarray, np.ndarray]:
 
 
 def anchors(texts: DataFrame, unit: str, window: int, k: int) -> DataFrame:
-    """texts(rid, did, text) -> one row (rid, did, gram, context, lo, n) for each run of n windows."""
+    """texts(rid, did, text) -> one row (rid, did, gram, context, more, lo, n) for each run of n windows; context and more are its hash."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -88,19 +89,12 @@ def anchors(texts: DataFrame, unit: str, window: int, k: int) -> DataFrame:
             for c in chunks(b.column("text")):
                 codes, bounds = symbols(c, unit)
                 gram, lo, hi = choose(codes, bounds, window, k)
-                context = span_hash(codes, lo, hi + window)
+                context, more = span_hash(codes, lo, hi + window), span_hash(mix(codes + np.uint64(1)), lo, hi + window)
                 row = np.searchsorted(bounds, lo, "right") - 1
-                cols = (rid[c.first + row], did[c.first + row], gram.view(np.int64), context.view(np.int64), (lo - bounds[row]), (hi - lo + 1).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["rid", "did", "gram", "context", "lo", "n"])
+                cols = (rid[c.first + row], did[c.first + row], gram.view(np.int64), context.view(np.int64), more.view(np.int64), (lo - bounds[row]), (hi - lo + 1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["rid", "did", "gram", "context", "more", "lo", "n"])
 
-    return texts.select("rid", "did", "text").mapInArrow(run, "rid long, did long, gram long, context long, lo long, n int")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return texts.select("rid", "did", "text").mapInArrow(run, "rid long, did long, gram long, context long, more long, lo long, n int")
 
 
 def turned(name: str) -> Column:
@@ -110,14 +104,14 @@ def turned(name: str) -> Column:
 
 def survivors(found: DataFrame, hot: int = HOT) -> DataFrame:
     """Anchors whose k-gram occurs twice or more, with mixed (its contexts differ) and many (it occurs more than ``hot`` times)."""
-    often = found.groupBy("gram").agg(F.count("*").alias("c"), F.min("context").alias("x"), F.max("context").alias("y")).where("c > 1")
-    often = often.select(turned("gram").alias("key"), (F.col("x") != F.col("y")).alias("mixed"), (F.col("c") > hot).alias("many"))
+    often = found.groupBy("gram").agg(F.count("*").alias("c"), *[f(x).alias(f"{f.__name__}_{x}") for x in ("context", "more") for f in (F.min, F.max)]).where("c > 1")
+    often = often.select(turned("gram").alias("key"), ((F.col("min_context") != F.col("max_context")) | (F.col("min_more") != F.col("max_more"))).alias("mixed"), (F.col("c") > hot).alias("many"))
     return written(found.withColumn("key", turned("gram")).join(often, "key").drop("key"), "anchors")
 
 
-def shrunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, did, id, z): rows with their texts compressed, for shuffles. The keys are never null; saying so keeps both joins to this on one exchange."""
-    kind = docs.schema[id_col].dataType.simpleString()
+def shrunk(texts: DataFrame) -> DataFrame:
+    """texts(rid, did, id, text) -> (rid, did, id, z): rows with their texts compressed, for shuffles. The keys are never null; saying so keeps both joins to this on one exchange."""
+    kind = texts.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3, write_content_size=True).compress
@@ -126,19 +120,20 @@ def shrunk(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
                 part = b.slice(c.first, c.last - c.first)
                 yield pa.RecordBatch.from_arrays([part.column("rid"), part.column("did"), part.column("id"), pa.array([pack(t) for t in c.texts()], pa.binary())], ["rid", "did", "id", "z"])
 
-    return keyed(docs, id_col, text_col).mapInArrow(run, f"rid long, did long, id {kind}, z binary").where("rid is not null and did is not null")
+    return texts.select("rid", "did", "id", "text").mapInArrow(run, f"rid long, did long, id {kind}, z binary").where("rid is not null and did is not null")
 
 
 def pieces(chosen: DataFrame, small: DataFrame, unit: str, window: int) -> DataFrame:
-    """chosen(rid, did, gram, context, lo, n, whole, crowded) -> (gram, context, whole, crowded, piece)."""
-    both = small.join(chosen.groupBy("rid", "did").agg(F.collect_list(F.struct("gram", "context", "lo", "n", "whole", "crowded")).alias("runs")), ["rid", "did"])
+    """chosen(rid, did, gram, context, more, lo, n, whole, crowded) -> (gram, context, more, whole, crowded, piece). Alike rows of small give a piece again."""
+    names = ["gram", "context", "more", "whole", "crowded"]
+    both = small.join(chosen.groupBy("rid", "did").agg(F.collect_list(F.struct(*names, "lo", "n")).alias("runs")), ["rid", "did"])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor().decompress
         for b in batches:
             runs, z = b.column("runs"), b.column("z")
             at, flat = runs.offsets.to_numpy(), runs.values
-            lo, n = flat.field(2).to_numpy(), flat.field(3).to_numpy()
+            lo, n = flat.field(5).to_numpy(), flat.field(6).to_numpy()
             i = 0
             while i < b.num_rows:
                 out: list[bytes] = []
@@ -153,9 +148,9 @@ def pieces(chosen: DataFrame, small: DataFrame, unit: str, window: int) -> DataF
                     size += sum(map(len, new))
                     i += 1
                 part = flat.slice(first, at[i] - first)
-                yield pa.RecordBatch.from_arrays([part.field(0), part.field(1), part.field(4), part.field(5), pa.array(out, pa.binary())], ["gram", "context", "whole", "crowded", "piece"])
+                yield pa.RecordBatch.from_arrays([*[part.field(k) for k in range(5)], pa.array(out, pa.binary())], [*names, "piece"])
 
-    return both.mapInArrow(cut, "gram long, context long, whole boolean, crowded boolean, piece binary")
+    return both.mapInArrow(cut, "gram long, context long, more long, whole boolean, crowded boolean, piece binary")
 
 
 def runs_of(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -172,80 +167,60 @@ def runs_of(flags: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarra
 def grouped(cut: DataFrame, exact: Callable[[list[bytes]], Iterator[tuple[int, int, int]]], most: int = 2 << 20) -> DataFrame:
     """Pieces meet by k-gram; exact(pieces) yields (piece, first, last) runs of repeated windows. Whole k-grams are handed over.
 
-    -> (gram, context, first, last) for the pieces that do not repeat as a whole."""
+    -> (gram, context, more, first, last) for the pieces that do not repeat as a whole."""
+    key = ["gram", "context", "more"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys: list[tuple[int, int, bool]] = []
+        keys: list[tuple[int, int, int, bool]] = []
         texts: list[bytes] = []
         size, last = 0, None
 
         def flush() -> pa.RecordBatch:
-            rows = [(*keys[c][:2], a, z) for c, a, z in exact(texts) if not keys[c][2]] if texts else []
-            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(4)], ["gram", "context", "first", "last"])
+            rows = [(*keys[c][:3], a, z) for c, a, z in exact(texts) if not keys[c][3]] if texts else []
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.int64()) for i in range(5)], [*key, "first", "last"])
 
         for t in batches:
-            for g, c, whole, piece in zip(*[t.column(x).to_pylist() for x in ("gram", "context", "whole", "piece")], strict=True):
-                if g != last and size >= most:
+            for *k, whole, piece in zip(*[t.column(x).to_pylist() for x in (*key, "whole", "piece")], strict=True):
+                if k == last:
+                    continue
+                if last is not None and k[0] != last[0] and size >= most:
                     yield flush()
                     keys, texts, size = [], [], 0
-                last = g
-                keys.append((g, c, whole))
+                last = k
+                keys.append((*k, whole))
                 texts.append(piece)
                 size += len(piece)
         yield flush()
 
-    return cut.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, "gram long, context long, first long, last long")
+    return cut.repartition("gram").sortWithinPartitions(*key).mapInArrow(run, "gram long, context long, more long, first long, last long")
 
 
-def windows_one_by_one(cut: DataFrame, unit: str, window: int) -> DataFrame:
-    """For k-grams with very many contexts: windows counted by 128-bit digest. -> (gram, context, first, last) for the pieces that do not repeat as a whole."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            for g, c, whole, piece in zip(*[t.column(x).to_pylist() for x in ("gram", "context", "whole", "piece")], strict=True):
-                text = piece if unit == "byte" else piece.split()
-                digests = [xxhash.xxh3_128_digest(text[i : i + window] if unit == "byte" else b" ".join(text[i : i + window])) for i in range(len(text) - window + 1)]
-                n = len(digests)
-                yield pa.RecordBatch.from_arrays([pa.array([g] * n, pa.int64()), pa.array([c] * n, pa.int64()), pa.array([whole] * n), pa.array(range(n), pa.int64()), pa.array(digests, pa.binary())], ["gram", "context", "whole", "first", "w"])
-
-    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for t in batches:
-            col = t.column("firsts")
-            owner, at = np.repeat(np.arange(t.num_rows), np.diff(col.offsets.to_numpy())), col.flatten().to_numpy()
-            order = np.lexsort((at, owner))
-            owner, at = owner[order], at[order]
-            new = np.ones(len(at), bool)
-            new[1:] = (at[1:] != at[:-1] + 1) | (owner[1:] != owner[:-1])
-            first = np.flatnonzero(new)
-            last = np.append(first[1:], len(at))[: len(first)] - 1
-            who = pa.array(owner[first])
-            yield pa.RecordBatch.from_arrays([t.column("gram").take(who), t.column("context").take(who), pa.array(at[first]), pa.array(at[last])], ["gram", "context", "first", "last"])
-
-    each = cut.select("gram", "context", "whole", "piece").mapInArrow(run, "gram long, context long, whole boolean, first long, w binary")
-    often = each.groupBy("w").count().where("count > 1").select("w")
-    hit = each.where("not whole").join(often, "w", "left_semi")
-    # a piece has no more windows than chose one k-gram, so the list is short
-    return hit.groupBy("gram", "context").agg(F.collect_list("first").alias("firsts")).mapInArrow(joined, "gram long, context long, first long, last long")
-
-
-def repeated_spans(found: DataFrame, small: DataFrame, unit: str, window: int, exact, hot: int = HOT) -> DataFrame:
-    """found: anchors; small: rows of `shrunk`. -> (rid, did, spans array<struct<a,z>>): symbol ranges covered by repeated windows; they may overlap."""
+def repeated_spans(found: DataFrame, small: DataFrame, unit: str, window: int, k: int, exact, hot: int = HOT) -> DataFrame:
+    """found: anchors by k-grams; small: rows of `shrunk`. -> (rid, did, spans array<struct<a,z>>): symbol ranges covered by repeated windows; they may overlap."""
+    key = ["gram", "context", "more"]
     left = survivors(found, hot)
-    mixed = left.where("mixed and gram is not null and context is not null")
-    one = mixed.groupBy("gram", "context").agg(F.min(F.struct("rid", "did", "lo", "n")).alias("r"), (F.count("*") > 1).alias("whole"), F.max("many").alias("many"))
-    chosen = one.select("gram", "context", "whole", "many", "r.rid", "r.did", "r.lo", "r.n")
-    crowded = mixed.where("many").select("gram", "context").distinct().groupBy("gram").count().where(F.col("count") > hot).select("gram").checkpoint()
+    mixed = left.where("mixed and gram is not null and context is not null and more is not null")
+    one = mixed.groupBy(*key).agg(F.min(F.struct("rid", "did", "lo", "n")).alias("r"), (F.count("*") > 1).alias("whole"))
+    crowded = mixed.where("many").select(*key).distinct().groupBy("gram").count().where(F.col("count") > hot).select("gram")
+    crowded = written(crowded, "crowded")
+    chosen = one.select(*key, "whole", "r.rid", "r.did", "r.lo", "r.n")
     if crowded.isEmpty():
-        cut = pieces(chosen.withColumn("crowded", F.lit(False)), small, unit, window)
-        runs = grouped(cut, exact)
+        runs = grouped(pieces(chosen.withColumn("crowded", F.lit(False)), small, unit, window), exact)
     else:
         marked = chosen.join(crowded.withColumn("crowded", F.lit(True)), "gram", "left").withColumn("crowded", F.coalesce("crowded", F.lit(False)))
-        cut = pieces(marked, small, unit, window)
-        runs = grouped(cut.where("not crowded"), exact).unionByName(windows_one_by_one(cut.where("crowded"), unit, window))
-    runs = runs.unionByName(one.where("whole").select("gram", "context", F.lit(0).cast("long").alias("first"), (F.col("r.n") - 1).cast("long").alias("last")))
-    spans = mixed.select("rid", "did", "gram", "context", "lo").join(runs, ["gram", "context"]).select("rid", "did", (F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last") + window).alias("z"))
+        cut = written(pieces(marked, small, unit, window), "pieces")
+        runs = grouped(cut.where("not crowded"), exact)
+        longer = min(window, k + max(1, round((window - k) * LONGER)))
+        corpus = cut.where("crowded").select(F.xxhash64(*key).alias("rid"), F.xxhash64(F.lit(2), *key).alias("did"), F.col("piece").alias("text"), F.col("whole").alias("id"), *key).dropDuplicates(["rid", "did"])
+        corpus = written(corpus, "corpus")
+        again = repeated_spans(anchors(corpus, unit, window, longer), shrunk(corpus), unit, window, longer, exact, hot)
+        back = corpus.where("not id").select("rid", "did", *key).join(again, ["rid", "did"]).select(*key, F.explode("spans").alias("s"))
+        runs = runs.unionByName(back.select(*key, F.col("s.a").alias("first"), (F.col("s.z") - window).alias("last")))
+    runs = runs.unionByName(one.where("whole").select(*key, F.lit(0).cast("long").alias("first"), (F.col("r.n") - 1).cast("long").alias("last")))
+    spans = mixed.select("rid", "did", *key, "lo").join(runs, key).select("rid", "did", (F.col("lo") + F.col("first")).alias("a"), (F.col("lo") + F.col("last") + window).alias("z"))
     spans = spans.unionByName(left.where("not mixed").select("rid", "did", F.col("lo").alias("a"), (F.col("lo") + F.col("n") - 1 + window).alias("z")))
-    return spans.groupBy("rid", "did").agg(F.collect_list(F.struct("a", "z")).alias("spans"))
+    # alike rows have their spans in common
+    return spans.groupBy("rid", "did").agg(F.collect_set(F.struct("a", "z")).alias("spans"))
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

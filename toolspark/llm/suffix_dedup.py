@@ -160,10 +160,11 @@ def repeated_runs(pieces: list[bytes], depth: int = LENGTH) -> Iterator[tuple[in
 def dedup(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, hot: int = repeats.HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_bytes, n_removed, n_spans, kept (the remaining bytes; invalid UTF-8 left by a cut inside a character is replaced), kept_sha256.
 
-    Null text: empty, nothing removed. Rows repeated with one id count as two places. An empty table gives an empty result."""
-    found = repeats.anchors(repeats.keyed(docs, id_col, text_col), "byte", length, gram)
-    small = repeats.shrunk(docs, id_col, text_col)
-    spans = repeats.repeated_spans(found, small, "byte", length, lambda p: repeated_runs(p, length), hot)
+    Null text: empty, nothing removed. Rows repeated with one id count as two places. An empty table gives an empty result. Ids are of any simple type;
+    texts are read whole; other columns are not looked at. Contexts with equal 128-bit hashes within a k-gram are taken as equal."""
+    texts = repeats.keyed(docs, id_col, text_col)
+    small = repeats.shrunk(texts)
+    spans = repeats.repeated_spans(repeats.anchors(texts, "byte", length, gram), small, "byte", length, gram, lambda p: repeated_runs(p, length), hot)
 
     def fn(text: bytes, spans: list[tuple[int, int]]) -> tuple:
         parts, at = [], 0
