@@ -1,9 +1,10 @@
 """Operator 5, substring dedup: removes every word covered by a window of 35 words that also starts elsewhere.
 
-Prefilter: a count-min sketch over the corpus. Each task counts the cells its own windows fall in (a partial aggregate, the
-sketch of that partition), and the partitions' sketches are merged by adding cells. A window is counted under its least k-gram, so a
-cell is never below the number of windows with that text: estimates are too high or right, and no repeated window is lost. The second
-pass groups exactly the windows whose estimate is two or more.
+Prefilter: a count-min sketch of bounded size. Each task counts the windows' keys of its partition, saturating at two, for each row of the
+sketch; its counts go on in blocks of cells, and the partitions' blocks are added up by block. A window is counted under its least k-gram, so a
+cell is never below the number of windows with that text: estimates are too high or right, and no repeated window is lost. Which cells count
+two or more is a bit array of bounded size that all tasks get; anchors it rules out are never shuffled. The second pass groups exactly the windows whose estimate
+is two or more. With many more k-grams than cells the sketch rules out less, and the second pass does the rest.
 """
 
 from __future__ import annotations
@@ -12,35 +13,93 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, SparkSession
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolspark.llm import repeats
-from toolspark.llm.common import mix, powers, read
+from toolspark.llm.common import mix, powers, read, written
 
 WINDOW = 35
 GRAM = 8
-#: Rows of the sketch and cells in a row. Cells are rows of a distributed table and empty ones are not kept, so width costs no memory.
+#: Rows of the sketch and cells in a row at most; the bits that all tasks get are 16 MB a row.
 DEPTH = 2
-WIDTH = 1 << 40
+WIDTH = 1 << 27
+#: Cells in a block.
+BLOCK = 1 << 16
+
+
+def cells(gram: np.ndarray, row: int, width: int) -> np.ndarray:
+    """Cells of k-gram hashes in a row of the sketch."""
+    return (mix(gram.view(np.uint64) + np.uint64(row + 1) * np.uint64(0x9E3779B97F4A7C15)) & np.uint64(width - 1)).astype(np.int64)
+
+
+def sketch(anchors: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
+    """(row, block, often): for each block of cells one bit a cell, set where the partitions' counts add up to two or more."""
+    block = min(BLOCK, width)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            gram = np.concatenate(held)
+            for r in range(depth):
+                at, n = np.unique(cells(gram, r, width), return_counts=True)
+                new = np.flatnonzero(np.append(True, at[1:] // block != at[:-1] // block))
+                parts = [(at[a:z] % block, n[a:z] > 1) for a, z in zip(new, np.append(new[1:], len(at)), strict=True)]
+                few, many = ([p[t if v else ~t].astype(np.uint16).tobytes() for p, t in parts] for v in (False, True))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(new), r, np.int32)), pa.array((at[new] // block).astype(np.int32)), pa.array(few, pa.binary()), pa.array(many, pa.binary())], ["row", "block", "once", "twice"])
+
+        for b in batches:
+            held.append(b.column("gram").to_numpy())
+            size += b.num_rows
+            if size > 1 << 22:
+                yield from counted()
+                held, size = [], 0
+        if size:
+            yield from counted()
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total = None, np.zeros(block, np.uint8)
+
+        def merged() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.packbits(total >= 2).tobytes()], pa.binary())], ["row", "block", "often"])
+
+        for b in batches:
+            for r, i, once, twice in zip(*[b.column(c).to_pylist() for c in ("row", "block", "once", "twice")], strict=True):
+                if (r, i) != key:
+                    if key is not None and (total >= 2).any():
+                        yield merged()
+                    key, total = (r, i), np.zeros(block, np.uint8)
+                at = np.frombuffer(once, np.uint16)
+                total[at] = np.minimum(total[at] + 1, 2)
+                total[np.frombuffer(twice, np.uint16)] = 2
+        if key is not None and (total >= 2).any():
+            yield merged()
+
+    parts = anchors.select("gram").mapInArrow(count, "row int, block int, once binary, twice binary")
+    return parts.repartition("row", "block").sortWithinPartitions("row", "block").mapInArrow(add, "row int, block int, often binary")
 
 
-def cell(row: int, width: int = WIDTH) -> Column:
-    return F.pmod(F.xxhash64(F.lit(row), F.col("gram")), F.lit(width))
-
-
-def sketch(anchors: DataFrame, row: int, width: int = WIDTH) -> DataFrame:
-    """One row of the merged sketch: (cell, count)."""
-    return anchors.groupBy(cell(row, width).alias("cell")).count()
+def estimated_repeated(anchors: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
+    """anchors whose least cell over all sketch rows counts two or more. Small tables get fewer cells (16 for each anchor)."""
+    width = min(width, 1 << max(6, (16 * anchors.count()).bit_length()))
+    block = min(BLOCK, width)
+    often = np.zeros((depth, width // 8), np.uint8)
+    for r in sketch(anchors, depth, width).collect():
+        often[r["row"], r["block"] * (block // 8) : (r["block"] + 1) * (block // 8)] = np.frombuffer(r["often"], np.uint8)
+    told = anchors.sparkSession.sparkContext.broadcast(often)
 
+    def repeated(gram: pd.Series) -> pd.Series:
+        x, keep = gram.to_numpy(np.int64), np.ones(len(gram), bool)
+        for r in range(depth):
+            at = cells(x, r, width)
+            keep &= (told.value[r][at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        return pd.Series(keep)
 
-def estimated_repeated(anchors: DataFrame, depth: int = DEPTH, width: int = WIDTH) -> DataFrame:
-    """anchors whose least cell over all sketch rows counts two or more."""
-    out = anchors
-    for row in range(depth):
-        often = sketch(out, row, width).where("count > 1").select(repeats.turned("cell").alias("key"))
-        out = out.withColumn("cell", cell(row, width)).withColumn("key", repeats.turned("cell")).join(often, "key", "left_semi").drop("cell", "key")
-    return out
+    repeated.__annotations__ = {"gram": pd.Series, "return": pd.Series}
+    return anchors.where(F.pandas_udf(repeated, "boolean")("gram"))
 
 
 def repeated_runs(pieces: list[bytes], window: int = WINDOW) -> Iterator[tuple[int, int, int]]:
@@ -81,10 +140,12 @@ def repeated_runs(pieces: list[bytes], window: int = WINDOW) -> Iterator[tuple[i
 def dedup(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, depth: int = DEPTH, width: int = WIDTH, hot: int = repeats.HOT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, n_words, n_removed, kept (remaining words joined by one space), kept_sha256.
 
-    Null text: no words. Rows repeated with one id count as two places. An empty table gives an empty result."""
-    found = estimated_repeated(repeats.anchors(repeats.keyed(docs, id_col, text_col), "word", window, gram), depth, width)
-    small = repeats.shrunk(docs, id_col, text_col)
-    spans = repeats.repeated_spans(found, small, "word", window, lambda p: repeated_runs(p, window), hot)
+    Null text: no words. Rows repeated with one id count as two places. An empty table gives an empty result. Ids are of any simple type; texts are read
+    whole; other columns are not looked at. Contexts with equal 128-bit hashes within a k-gram are taken as equal."""
+    texts = repeats.keyed(docs, id_col, text_col)
+    small = repeats.shrunk(texts)
+    found = estimated_repeated(written(repeats.anchors(texts, "word", window, gram), "windows"), depth, width)
+    spans = repeats.repeated_spans(found, small, "word", window, gram, lambda p: repeated_runs(p, window), hot)
 
     def fn(text: bytes, spans: list[tuple[int, int]]) -> tuple:
         words, parts, at = text.split(), [], 0
