@@ -4,7 +4,7 @@ Fingerprints within radius r differ in r bits at most. Every bit position gets a
 nonzero vector of r + 1 bits) looks at the positions whose vector has an odd product with v. The vectors of r differing positions
 span r dimensions at most, so some v is orthogonal to all of them: in that table the two fingerprints agree. No pair is missed.
 Only distinct fingerprints are compared, and a bucket yields a spanning forest of its links, never its pairs. A bucket with very
-many fingerprints is divided again by blocks of the bits its table does not look at (r differing bits leave one of r + 1 blocks equal).
+many fingerprints is divided by blocks of the bits its table does not look at (r differing bits leave one of r + 1 blocks equal), as often as needed.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolspark.llm.common import chunks, read
+from toolspark.llm.common import chunks, read, written
 from toolspark.llm.components import components
 
 SHINGLE = 3
@@ -95,58 +95,59 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
     return out
 
 
+def divided(mask: int, parts: int) -> list[int]:
+    """The mask with one of ``parts`` blocks of the positions it does not look at."""
+    free = [i for i in range(64) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in free[j::parts]) for j in range(parts)]
+
+
 def links(distinct: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """distinct(fp long) -> (a, b): enough links between fingerprints within the radius to connect all that are connected."""
-    masks = covering_masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)])
-    placed = distinct.select("fp", F.explode(tables).alias("x")).select("fp", F.col("x.t").alias("t"), F.col("x.key").alias("key"))
-    sizes = placed.groupBy("t", "key").count().where("count > 1")
-    crowded = sizes.where(F.col("count") > bucket).select("t", "key")
-    some = placed.join(sizes.where(F.col("count") <= bucket).select("t", "key"), ["t", "key"], "left_semi")
-
-    # blocks of the positions a table does not look at
-    blocks = []
-    for m in masks:
-        free = [i for i in range(64) if not m >> i & 1]
-        blocks.append([sum(1 << i for i in free[j :: radius + 1]) for j in range(radius + 1)])
-    to_long = lambda m: m - (1 << 64) if m >> 63 else m
-    dense = placed.join(crowded, ["t", "key"], "left_semi")
-    per_block = F.array(*[F.struct(F.lit(j).alias("j"), F.col("fp").bitwiseAND(F.element_at(F.array(*[F.lit(to_long(b[j])) for b in blocks]), F.col("t") + 1)).alias("part")) for j in range(radius + 1)])
-    again = dense.select("fp", "t", "key", F.explode(per_block).alias("x")).select("fp", "t", "key", F.col("x.j").alias("j"), F.col("x.part").alias("part"))
+    spark = distinct.sparkSession
+    signed = lambda m: m - (1 << 64) if m >> 63 else m
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, held = None, []
 
         def flush() -> pa.RecordBatch:
-            v = np.unique(np.array(held, np.int64)).view(np.uint64)
-            pairs = forest(v, radius)
-            s = v.view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array([int(s[i]) for i, _ in pairs], pa.int64()), pa.array([int(s[j]) for _, j in pairs], pa.int64())], ["a", "b"])
+            v = np.array(held, np.int64)
+            pairs = forest(v.view(np.uint64), radius)
+            return pa.RecordBatch.from_arrays([pa.array([int(v[i]) for i, _ in pairs], pa.int64()), pa.array([int(v[j]) for _, j in pairs], pa.int64())], ["a", "b"])
 
         for b in batches:
-            keys = list(zip(*[b.column(c).to_pylist() for c in b.schema.names if c != "fp"], strict=True))
-            for k, fp in zip(keys, b.column("fp").to_pylist(), strict=True):
-                if k != group:
+            for mask, key, fp in zip(*[b.column(c).to_pylist() for c in ("mask", "key", "fp")], strict=True):
+                if (mask, key) != group:
                     if len(held) > 1:
                         yield flush()
-                    group, held = k, []
+                    group, held = (mask, key), []
                 held.append(fp)
         if len(held) > 1:
             yield flush()
 
-    plain = some.repartition("t", "key").sortWithinPartitions("t", "key").mapInArrow(run, "a long, b long")
-    deep = again.repartition("t", "key", "j", "part").sortWithinPartitions("t", "key", "j", "part").mapInArrow(run, "a long, b long")
-    return plain.union(deep)
+    masks, out = covering_masks(radius), None
+    rows = distinct.select("fp", F.explode(F.array(*[F.lit(signed(m)) for m in masks])).alias("mask"))
+    while True:
+        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        sizes = written(rows.groupBy("mask", "key").count().where("count > 1"), "buckets")
+        # distinct fingerprints in a bucket differ in the positions left, so few positions cannot hold a large one
+        few = rows.join(sizes.where(F.col("count") <= bucket).select("mask", "key"), ["mask", "key"], "left_semi")
+        found = few.repartition("mask", "key").sortWithinPartitions("mask", "key").mapInArrow(run, "a long, b long")
+        out = found if out is None else out.union(found)
+        crowded = sizes.where(F.col("count") > bucket).select("mask", "key")
+        if crowded.isEmpty():
+            return out
+        masks = [r.mask for r in crowded.select("mask").distinct().collect()]
+        table = spark.createDataFrame([(m, signed(x)) for m in masks for x in divided(m % (1 << 64), radius + 1)], "mask long, next long")
+        rows = written(rows.join(crowded, ["mask", "key"], "left_semi").join(F.broadcast(table), "mask").select("fp", F.col("next").alias("mask")).distinct(), "divided")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE, seed: int = SEED, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
     """One row for each document: id, fingerprint (hex), component_id (least id reachable over links of ``radius`` or fewer bits).
 
-    Null or blank text: fingerprint zero, linked like any other. Null ids come last among a component's ids. Equal rows get equal rows."""
-    shared_dir_needed = fingerprints(docs, id_col, text_col, shingle, seed)
-    marked = shared_dir_needed
-    distinct = marked.groupBy("fp").agg(F.min("id").alias("least"))
+    Null, empty and blank texts: fingerprint zero, linked like any other. Texts are read whole. Null ids come last among a component's ids. Equal rows get
+    equal rows; an empty table gives an empty result; other columns are not looked at."""
+    marked = written(fingerprints(docs, id_col, text_col, shingle, seed), "fingerprints")
+    distinct = written(marked.groupBy("fp").agg(F.min("id").alias("least")), "distinct")
     roots = components(links(distinct.select("fp"), radius, bucket))
     # the least document of each component: components name a fingerprint, documents of a fingerprint are already one row
     named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
