@@ -63,8 +63,8 @@ class Maker:
         if kind == "side":
             return self.wrap(["aside", "aside", "div", "section"], BAD["side"], f"<h3>{self.words(1, 4)}</h3>" + r.choice([self.links(r.randint(2, 8)), f"<p>{self.words(5, 40)}</p>", self.links(3) + f"<p>{self.words(5, 30)}</p>"]))
         if kind == "ad":
-            names = BAD["ad"]
-            return f'<{"div" if r.random() < 0.8 else "aside"} {r.choice(["class", "class", "id"])}="{r.choice(names)}">{r.choice([self.words(3, 40), "<p>" + self.words(4, 40) + "</p>", "<a href=/x>" + self.words(3, 15) + "</a>"])}</div>'
+            tag, long = r.choice(["div", "div", "div", "aside", "section"]), r.choice([6, 15, 40, 120])
+            return f'<{tag} {r.choice(["class", "class", "id"])}="{r.choice(BAD["ad"])}">{r.choice([self.words(2, long), self.words(2, long), "<p>" + self.words(2, long) + "</p>", "<a href=/x>" + self.words(2, 15) + "</a>"])}</{tag}>'
         if kind == "notice":
             return f'<div {r.choice(["class", "id"])}="{r.choice(BAD["notice"])}">{r.choice(["<p>" + self.words(8, 40) + "</p>", self.words(8, 40)])}<button>{self.words(1, 2)}</button></div>'
         if kind == "comments":
@@ -104,9 +104,12 @@ class Maker:
         inner = []
         if r.random() < 0.85:
             inner.append(f"<h1>{self.words(2, 12)}</h1>")
-        for _ in range(r.choice([0, 1, 2, 4, 8, 16])):
+        for _ in range(r.choice([0, 0, 1, 2, 4, 8, 16])):
             inner.append(self.part())
-        inner.append(f"<p>{self.words(3, 90)}</p>")
+        if r.random() < 0.2:  # a text that says the same again and again
+            again = self.words(1, 6)
+            inner += [f"<p>{'<b>' * (r.random() < 0.2)}{again}</p>" for _ in range(r.randint(2, 20))]
+        inner.append(f"<p>{self.words(1, r.choice([4, 20, 90]))}</p>")
         holes = [self.boiler(k) for k in ("ad", "share", "side", "notice", "comments", "form", "ad", "ad", "nav") if r.random() < 0.13]
         for h in holes:
             inner.insert(r.randint(1, len(inner)), f"</x-main>{h}<x-main>")
@@ -117,7 +120,7 @@ class Maker:
             main = f"<table><tr>{main}<td>{self.links(5)}</td></tr></table>"
         if r.random() < 0.3:
             main = f'<div{self.attr(["container", "wrapper", "page", "row", "layout"])}>{main}{self.boiler("side") if r.random() < 0.6 else ""}</div>'
-        top = [self.boiler(k) for k in ("header", "nav", "ad", "notice", "nav", "form") if r.random() < 0.5]
+        top = [self.boiler(k) for k in ("header", "nav", "notice", "nav", "ad", "form") if r.random() < 0.5]
         end = [self.boiler(k) for k in ("comments", "side", "share", "notice", "footer", "ad", "form") if r.random() < 0.4]
         if r.random() < 0.5:
             end.append(self.boiler("footer"))

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 from functools import lru_cache
 
 import numpy as np
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolspark.llm import gbt
-from toolspark.llm.common import read
+from toolspark.llm.common import read, refuse
 from toolspark.llm.html_pages import pages
 
 TRAIN_PAGES = 700
@@ -24,7 +25,9 @@ SEED = 9
 #: fixed values: elements by their part in the tree
 INLINE = frozenset("a b i em strong span small big code sub sup u s del ins mark font abbr acronym cite q time label bdi bdo dfn kbd samp var tt data ruby rt rp wbr br img picture x-main".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object textarea select option button title head canvas audio video map".split())
+RAW = frozenset("script style noscript template svg iframe object textarea select option button title head canvas audio video map".split())
+#: fixed values: elements whose content is no markup, so that one left open goes to the end of the page
+PLAIN = frozenset("script style textarea title".split())
 CLOSES_P = frozenset("address article aside blockquote center div dl fieldset footer form h1 h2 h3 h4 h5 h6 header hr main nav ol p pre section table ul li dt dd tr td th".split())
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "p": ("p",)}
 WALLS = {"li": ("ul", "ol"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table"), "p": ("div", "article", "section", "td", "li", "blockquote", "body", "main", "aside", "footer", "header", "nav", "form")}
@@ -33,7 +36,8 @@ GOOD_WORDS = re.compile(r"article|post|content|entry|main|story|body|text|prose|
 BAD_WORDS = re.compile(r"nav|menu|header|masthead|banner|logo|brand|foot|copyright|legal|colophon|bottom|side|aside|widget|relat|recommend|trend|popular|tag|promo|more|sponsor|cookie|consent|gdpr|alert|notice|modal|popup|overlay|subscri|newsletter|paywall|share|social|follow|crumb|topbar|pagin|toc|login|search|tool|(?<![a-z])ad(?:s|vert\w*)?(?![a-z])")
 COMMENT_WORDS = re.compile(r"comment|disqus|discuss|repl(?:y|ies)|respon[sd]")
 
-_token = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+_start = re.compile(r"</?[a-zA-Z][^\s/>]*")
+_stop = re.compile("[>\"']")
 _names = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _hidden = re.compile(r"""(?:^|\s)hidden(?=[\s=/]|$)|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.I)
 
@@ -61,103 +65,154 @@ class Tree:
         return len(self.tag) - 1
 
 
+class Tags:
+    """Reads a page from mark to mark, in time linear in its length: what was once looked for in vain is not looked for again."""
+
+    def __init__(self, page: str) -> None:
+        self.page, self.at, self.plain, self.lost = page, 0, False, set()
+        self.last = {q: page.rfind(q) for q in "\"'"}
+
+    def _end(self, at: int) -> int:
+        """Index of the > that ends the tag; a > in quotes does not, unless that leaves the tag without an end. -1: no > is left."""
+        i, page = at, self.page
+        while not self.plain and (m := _stop.search(page, i)):
+            if m[0] == ">":
+                return m.start()
+            # a quote that nothing closes is a character like any other
+            i = page.find(m[0], m.end()) + 1 if m.start() < self.last[m[0]] else m.end()
+        self.plain = True
+        return page.find(">", at)
+
+    def __iter__(self):
+        """(text before, name or None, is an end tag, attributes); the last has no name. A comment, declaration or CDATA section has none either."""
+        page, begun = self.page, 0
+        while True:
+            a = page.find("<", self.at)
+            if a < 0:
+                yield page[begun:], None, False, ""
+                return
+            if page.startswith("<!--", a):
+                z = page.find("-->", a + 4)
+                z = len(page) if z < 0 else z + 3
+            elif page.startswith("<![CDATA[", a):
+                z = page.find("]]>", a)
+                yield page[begun:a] + html.escape(page[a + 9 : z if z >= 0 else len(page)]), None, False, ""
+                begun = self.at = len(page) if z < 0 else z + 3
+                continue
+            elif page.startswith(("<!", "<?"), a):
+                z = page.find(">", a)
+                z = len(page) if z < 0 else z + 1
+            elif m := _start.match(page, a):
+                z = self._end(m.end())
+                if z < 0:  # the page ends inside a tag
+                    yield page[begun:a], None, False, ""
+                    return
+                self.at = z + 1
+                yield page[begun:a], m[0].lstrip("</").lower(), m[0][1] == "/", page[m.end() : z]
+                begun = self.at  # after the tag, or where skip() went
+                continue
+            else:
+                self.at = a + 1
+                continue
+            yield page[begun:a], None, False, ""
+            begun = self.at = z
+
+    def skip(self, tag: str) -> bool:
+        """Goes on after the element's end tag; False if there is none."""
+        m = None if tag in self.lost else re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(self.page, self.at)
+        if m is None:
+            self.lost.add(tag)
+            return False
+        self.at = m.end()
+        return True
+
+
 def parse(page: str) -> Tree:
-    """Never fails: unknown end tags are dropped, what is open at the end is closed, what follows an unfinished tag is text."""
+    """Never fails: unknown end tags are dropped, what is open at the end is closed, a tag that the page breaks off is dropped."""
     t = Tree()
-    stack = [0]
-    names = ["body"]
+    stack, names, open_ = [0], ["body"], Counter()
     pieces: list[str] = []
-    state = {"links": 0, "anchor": 0, "main": 0, "run_main": 0}
+    links = anchor = main = run_main = 0
 
     def flush() -> None:
+        nonlocal links, run_main
         if pieces:
             text = " ".join(html.unescape("".join(pieces)).split())
             if text:
-                t.add(stack[-1], "run", "", text, min(state["links"], len(text)), state["run_main"] > 0)
+                t.add(stack[-1], "run", "", text, min(links, len(text)), run_main > 0)
             pieces.clear()
-        state["links"], state["run_main"] = 0, 0
+        links = run_main = 0
+
+    def cut(i: int) -> None:
+        """Closes the elements from the i-th open one on."""
+        open_.subtract(names[i:])
+        del names[i:], stack[i:]
 
-    def put(text: str) -> None:
+    tags = Tags(page)
+    for text, tag, end, attrs in tags:
         if text:
             pieces.append(text)
             if not text.isspace():
-                state["run_main"] = state["run_main"] or state["main"]
-            if state["anchor"]:
-                state["links"] += len(text)
-
-    at = 0
-    n = len(page)
-    while True:
-        m = _token.search(page, at)
-        if m is None:
-            put(page[at:n])
-            break
-        put(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            if m[0].startswith("<![CDATA["):
-                put(html.escape(m[0][9:].removesuffix("]]>")))
+                run_main = run_main or main
+            if anchor:
+                links += len(text)
+        if tag is None:
             continue
-        tag, end = m[2].lower(), bool(m[1])
         if tag == "x-main":
-            state["main"] += -1 if end else 1
+            main += -1 if end else 1
         if tag in RAW and not end:
-            if m[3].endswith("/"):
+            if attrs.endswith("/"):
                 continue
-            close = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            if close is None and tag in ("option", "select", "button", "head", "map", "object"):
+            if not tags.skip(tag):
+                if tag in PLAIN:
+                    break
                 continue
-            at = close.end() if close else n
-            if tag not in ("option", "select", "button"):
-                pieces.append(" ") if pieces else None
+            if tag not in ("option", "select", "button") and pieces:
+                pieces.append(" ")
             continue
         if tag in INLINE:
             if tag == "a":
-                state["anchor"] = 0 if end else 1
+                anchor = 0 if end else 1
             elif tag in ("br", "wbr") and not end:
-                put(" ")
+                pieces.append(" ")
             continue
         if tag in ("html", "body", "head") or tag in RAW:
             if tag == "body" and not end:
-                t.attrs[0] = m[3]
+                t.attrs[0] = attrs
             continue
         flush()
         if end:
-            if tag in names[1:]:
-                while names[-1] != tag:
-                    names.pop()
-                    stack.pop()
-                names.pop()
-                stack.pop()
+            if open_[tag] > 0:
+                i = len(names) - 1
+                while names[i] != tag:
+                    i -= 1
+                cut(i)
             continue
-        if tag in CLOSES_P and "p" in names:
+        if tag in CLOSES_P and open_["p"] > 0:
             i = len(names) - 1
             while i and names[i] not in WALLS["p"] and names[i] != "p":
                 i -= 1
             if i and names[i] == "p":
-                del names[i:], stack[i:]
-        for same in (SAME.get(tag),):
-            if same and tag != "p":
-                i = len(names) - 1
-                while i and names[i] not in WALLS[tag] and names[i] not in same:
+                cut(i)
+        same = SAME.get(tag, ())
+        if tag != "p" and any(open_[x] > 0 for x in same):
+            i = len(names) - 1
+            while i and names[i] not in WALLS[tag] and names[i] not in same:
+                i -= 1
+            if i and names[i] in same:
+                while i and names[i - 1] in same:
                     i -= 1
-                if i and names[i] in same:
-                    while i and names[i - 1] in same:
-                        i -= 1
-                    del names[i:], stack[i:]
-        if tag in VOID or m[3].endswith("/"):
+                cut(i)
+        if tag in VOID or attrs.endswith("/"):
             continue
-        if len(stack) > 400:
-            continue
-        stack.append(t.add(stack[-1], tag, m[3]))
+        stack.append(t.add(stack[-1], tag, attrs))
         names.append(tag)
-        state["anchor"] = 0
+        open_[tag] += 1
+        anchor = 0
     flush()
     return t
 
 
-
-
 @lru_cache(65536)
 def attr_marks(tag: str, attrs: str) -> tuple[float, float, float, float]:
     """Hits of good, bad and comment words in class, id and role, and whether the element is hidden."""
@@ -221,7 +276,11 @@ def node_features(t: Tree) -> np.ndarray:
         1,
     )
     parent_tag = code[np.maximum(parent, 0)].astype(float)
-    return np.concatenate([onehot, extra, above, attrs[:, :3].max(1, keepdims=True) * 0 + attrs[:, 1:2] - attrs[:, 0:1], attrs[:, 2:3], parent_tag[:, None]], 1)
+    return np.concatenate([above, own, onehot, extra, parent_tag[:, None]], 1)
+
+
+#: Features in which the probability may only rise or fall: good, bad, comment words and hiding, above a node and on it, and kinds of boilerplate above.
+MONOTONE = {0: 1, 1: -1, 2: -1, 3: -1, 4: -1, 5: -1, 6: 1, 8: 1, 9: -1, 10: -1, 11: -1, 12: -1, 13: -1, 14: 1}
 
 
 def decode(parent: list[int], p: np.ndarray) -> np.ndarray:
@@ -251,7 +310,7 @@ def train(n: int = TRAIN_PAGES, seed: int = SEED) -> gbt.Trees:
             main[t.parent[i]] = main[t.parent[i]] or main[i]
         x.append(node_features(t))
         y.append(np.array(main, float))
-    return gbt.fit(np.concatenate(x), np.concatenate(y), trees=50, depth=5, rate=0.25, bins=32)
+    return gbt.fit(np.concatenate(x), np.concatenate(y), MONOTONE, trees=60, depth=5, rate=0.25, bins=32)
 
 
 def texts(sources: list[str], model: gbt.Trees) -> list[list[str]]:
@@ -271,7 +330,9 @@ def texts(sources: list[str], model: gbt.Trees) -> list[list[str]]:
 
 
 def extracted(table: DataFrame, model: gbt.Trees | None = None, html_col: str = "html", out_col: str = "text_") -> DataFrame:
-    """table with a string column of the main text: runs joined by an empty line. Null or empty pages: empty text. Other columns pass through."""
+    """table with a string column of the main text: runs joined by an empty line. Null or empty pages, and pages without main text: empty text. Pages are read
+    whole, each for itself, so repeated rows get equal texts and an empty table gives an empty one. Other columns pass through; a column named as the new one is refused."""
+    refuse(table, out_col)
     import pandas as pd
 
     model = model or train()
@@ -296,5 +357,3 @@ def extracted(table: DataFrame, model: gbt.Trees | None = None, html_col: str =
 def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = extracted(read(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return out.select("page_id", "url", F.col("text_").alias("text"), F.length("text_").cast("long").alias("n_chars"))
-
-
