@@ -3,6 +3,9 @@
 Categories are predicted one after the other; each model sees the words of a document and the probabilities of the categories before
 it. While training, those are out-of-fold: made by models that did not see the document. Words are features chosen by their chi-square in
 the training sample (`SAMPLE` labelled rows at most, least hashes of the id first); a document has a word or has it not, wherever it stands.
+
+Labels tell toxic or not, no kind of toxicity. The earlier categories are the kinds that the toxic rows of the sample fall into: clusters by the
+words they have in common, largest first. The last category is the label itself.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolspark.llm.common import BYTE_CODE, Chunk, chunks, read, span_hash
+from toolspark.llm.common import BYTE_CODE, Chunk, chunks, read, span_hash, written
 
 SAMPLE = 12_000
 WORDS = 768
@@ -26,9 +29,8 @@ BEGINNINGS = (4, 5, 6, 7, 8)
 #: Least chi-square of a feature (one degree of freedom, p = 0.0001).
 CHI = 15.1
 THRESHOLD = 0.3
-#: fixed values: terms that make a toxic training document one of a category; the last category is the label itself
-TERMS = {"insult": ["idiot", "moron", "stupid", "clown", "fool", "dumb"], "contempt": ["loser", "pathetic", "worthless", "useless"], "disgust": ["disgusting", "scum", "trash", "filth", "garbage"]}
-CATEGORIES = [*TERMS, "toxic"]
+#: Kinds of toxic documents, the chain's earlier categories.
+KINDS = 3
 
 _letter = np.zeros(256, bool)
 _letter[65:91] = _letter[97:123] = _letter[0x80:] = True
@@ -60,11 +62,6 @@ def letters(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     return found[order], owner[order]
 
 
-def code(word: str) -> int:
-    w = _lower[np.frombuffer(word.encode(), np.uint8)]
-    return int(span_hash(BYTE_CODE[w], np.array([0]), np.array([len(w)]))[0])
-
-
 def present(codes: np.ndarray, owner: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (row, feature) pairs for the codes found in ``known`` (sorted)."""
     if not len(known) or not len(codes):
@@ -141,15 +138,50 @@ def fit_rows(row: np.ndarray, feature: np.ndarray, known: np.ndarray, labels: np
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, words: int = WORDS, terms: dict[str, list[str]] | None = None) -> Chain:
-    """The chain for `terms`' categories, then ``label_col``. Without labelled rows nothing is toxic."""
-    terms = TERMS if terms is None else terms
-    pick = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pick.withColumnRenamed(id_col, "id"), "id")
+def kinds(row: np.ndarray, feature: np.ndarray, n: int, m: int, toxic: np.ndarray, k: int = KINDS, steps: int = 20) -> np.ndarray:
+    """A column for each of k kinds of the toxic rows, largest first: spherical k-means over their words, rarer words counting more. The first
+    centre is the row nearest to the mean, each further one the row least like those before, so refits agree. Rows of no known word are of no kind."""
+    out = np.zeros((n, k), bool)
+    rows = np.flatnonzero(toxic)
+    if not len(rows) or not m:
+        return out
+    place = np.full(n, -1)
+    place[rows] = np.arange(len(rows))
+    own = place[row] >= 0
+    r, f = place[row[own]], feature[own]
+    rare = np.log(1 + len(rows) / np.maximum(np.bincount(f, minlength=m), 1))
+    norm = np.sqrt(np.bincount(r, rare[f] ** 2, len(rows)))
+    value = rare[f] / np.maximum(norm[r], 1e-12)
+    times = lambda centre: np.bincount(r, value * centre[f], len(rows))
+    some = np.flatnonzero(norm > 0)
+    if not len(some):
+        return out
+    seed = some[int(np.argmax(times(np.bincount(f, value, m))[some]))]
+    centres, near = [], np.full(len(rows), -np.inf)
+    for _ in range(k):
+        centre = np.bincount(f[r == seed], value[r == seed], m)
+        centres.append(centre)
+        near = np.maximum(near, times(centre))
+        seed = some[int(np.argmin(near[some]))]
+    for _ in range(steps):
+        best = np.argmax([times(c) for c in centres], 0)
+        sums = [np.bincount(f[best[r] == i], value[best[r] == i], m) for i in range(k)]
+        centres = [s / np.linalg.norm(s) if s.any() else c for s, c in zip(sums, centres, strict=True)]
+    best = np.where(norm > 0, np.argmax([times(c) for c in centres], 0), -1)
+    order = sorted(range(k), key=lambda i: (-int((best == i).sum()), i))
+    for at, i in enumerate(order):
+        out[rows[best == i], at] = True
+    return out
+
 
-    names = [*terms, label_col]
-    wanted = [np.array([code(w) for w in ws], np.uint64) for ws in terms.values()]
-    flags = [f"f{k}" for k in range(len(names))]
+def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", sample: int = SAMPLE, words: int = WORDS, k: int = KINDS) -> Chain:
+    """The chain for k kinds, then ``label_col``. Without toxic labelled rows nothing is toxic. An id labelled more than once has its largest label, one
+    found on several documents gives the text of least hash; null ids and labels are not learned from."""
+    pick = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    # the labelled ids are bounded by sample, and so is what each id contributes, combined before the shuffle
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "y", "t.text")
+    names = [*[f"kind_{i + 1}" for i in range(k)], label_col]
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,39 +190,37 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
                 codes, owner = letters(c)
                 cuts = np.searchsorted(owner, np.arange(len(c.offsets)))
                 found = [np.unique(codes[cuts[i] : cuts[i + 1]]) for i in range(len(c.offsets) - 1)]
-                toxic = y[c.first : c.last]
-                marks = [toxic & np.array([bool(np.isin(w, f).any()) for f in found], bool) for w in wanted] + [toxic]
                 ends = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found).view(np.int64)))
-                yield pa.RecordBatch.from_arrays([b.column("id").slice(c.first, c.last - c.first).cast(pa.string()), lists, *[pa.array(m.astype(float)) for m in marks]], ["id", "codes", *flags])
+                yield pa.RecordBatch.from_arrays([b.column("id").slice(c.first, c.last - c.first).cast(pa.string()), lists, pa.array(y[c.first : c.last].astype(float))], ["id", "codes", "y"])
 
-    found = rows.mapInArrow(bags, "id string, codes array<long>, " + ", ".join(f"{f} double" for f in flags))
-    total = found.agg(F.count("*").alias("n"), *[F.coalesce(F.sum(f), F.lit(0.0)).alias(f) for f in flags]).first()
-    if not total.n:
+    found = written(rows.mapInArrow(bags, "id string, codes array<long>, y double"), "bags")
+    total = found.agg(F.count("*").alias("n"), F.sum("y").alias("y")).first()
+    if not total.n or not total.y:
         return Chain(names, np.zeros(0, np.uint64), np.zeros((len(names), 0)), np.zeros((len(names), len(names))), np.full(len(names), -20.0))
-    # chi-square of each word by category, counted on the executors; only the best words come to the driver
-    counts = found.select(F.explode("codes").alias("code"), *flags).groupBy("code").agg(F.count("*").alias("df"), *[F.sum(f).alias(f) for f in flags]).where("df >= 3")
-    expected = {f: F.col("df") * (total[f] / total.n) for f in flags if total[f]}
-    scores = [(F.col(f) - e) ** 2 / e for f, e in expected.items()]
-    best = counts.withColumn("score", F.greatest(*scores, F.lit(0.0))).where(F.col("score") > CHI).orderBy(F.desc("score"), "code").limit(words).select("code").collect()
+    # chi-square of each word, counted on the executors; only the best words come to the driver
+    counts = found.select(F.explode("codes").alias("code"), "y").groupBy("code").agg(F.count("*").alias("df"), F.sum("y").alias("y")).where("df >= 3")
+    expected = F.col("df") * (total.y / total.n)
+    best = counts.withColumn("score", (F.col("y") - expected) ** 2 / expected).where(F.col("score") > CHI).orderBy(F.desc("score"), "code").limit(words).select("code").collect()
     known = np.sort(np.array([r.code for r in best], np.int64).view(np.uint64))
 
-    def pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def own_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             lists = b.column("codes")
             row, feature = present(lists.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy()), known)
             cuts = np.searchsorted(row, np.arange(b.num_rows + 1))
             own = [feature[cuts[i] : cuts[i + 1]].tobytes() for i in range(b.num_rows)]
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(own, pa.binary()), *[b.column(f) for f in flags]], ["id", "own", *flags])
+            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(own, pa.binary()), b.column("y")], ["id", "own", "y"])
 
-    got = found.mapInArrow(pick, "id string, own binary, " + ", ".join(f"{f} double" for f in flags)).toPandas().sort_values("id", kind="stable")
+    got = found.mapInArrow(own_words, "id string, own binary, y double").toPandas().sort_values("id", kind="stable")
     own = [np.frombuffer(x, np.int64) for x in got["own"]]
-    row = np.repeat(np.arange(len(own)), [len(x) for x in own])
-    return fit_rows(row, np.concatenate(own), known, got[flags].to_numpy(), names)
+    row, feature, toxic = np.repeat(np.arange(len(own)), [len(x) for x in own]), np.concatenate(own), got["y"].to_numpy() > 0
+    return fit_rows(row, feature, known, np.column_stack([kinds(row, feature, len(own), len(known), toxic, k), toxic]).astype(float), names)
 
 
 def scored(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, p_<category> for every category, toxic (the last at the threshold or above). Null text: no words."""
+    """id, p_<category> for every category, toxic (the last at the threshold or above). Null, empty and blank texts have no words. Texts are read whole;
+    rows are scored one by one, so repeated rows and ties get equal results and an empty table gives an empty one; other columns are not looked at."""
     kind = docs.schema[id_col].dataType.simpleString()
     names = [f"p_{n}" for n in chain.names]
 
