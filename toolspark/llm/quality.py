@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from toolspark.llm import gbt
-from toolspark.llm.common import BYTE_CODE, SPACE, Chunk, chunks, mix, read, span_hash, word_codes, words
+from toolspark.llm.common import SPACE, Chunk, block_hash, chunks, mix, read, refuse, word_codes, words
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 SAMPLE = 20_000
@@ -44,7 +44,7 @@ def _stop_codes() -> np.ndarray:
     stop = [w.encode() for w in sorted(set(STOP) | {w.title() for w in STOP})]
     joined = b"".join(stop)
     ends = np.cumsum([len(w) for w in stop])
-    return np.sort(span_hash(BYTE_CODE[np.frombuffer(joined, np.uint8)], ends - [len(w) for w in stop], ends))
+    return np.sort(block_hash(np.frombuffer(joined, np.uint8), ends - [len(w) for w in stop], ends))
 
 
 _STOP = _stop_codes()
@@ -104,7 +104,7 @@ def statistics(c: Chunk) -> tuple[np.ndarray, np.ndarray]:
     words_in = np.searchsorted(starts, line_end) - np.searchsorted(starts, line_start)
     real = words_in > 0
     ls, le, lo, lw = line_start[real], line_end[real], line_owner[real], words_in[real]
-    again = _repeats(span_hash(BYTE_CODE[data], ls, le), lo)[1] if len(ls) else np.zeros(0, bool)
+    again = _repeats(block_hash(data, ls, le), lo)[1] if len(ls) else np.zeros(0, bool)
     n_dup = np.bincount(lo[again], minlength=n)
     n_lines = np.bincount(lo, minlength=n)
     base[:] = np.stack([n_words, word_chars, n_symbols, n_dup, n_repeat], 1)
@@ -131,8 +131,10 @@ def base_failed(base: np.ndarray) -> np.ndarray:
 
 def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> tuple[np.ndarray, np.ndarray]:
     """Features and labels of up to ``sample`` labelled documents; which ones depends on ids alone, so refits agree."""
-    pick = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(pick.withColumnRenamed(id_col, "id"), "id")
+    pick = labels.where(F.col(id_col).isNotNull() & F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).orderBy(F.xxhash64("id"), "id").limit(sample)
+    # the labelled ids are bounded by sample, and so is what each id contributes: its text of least hash, combined before the shuffle
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(pick), "id")
+    rows = rows.groupBy("id").agg(F.max("y").alias("y"), F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("t")).select("id", "y", "t.text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -149,7 +151,8 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, lab
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> gbt.Trees:
-    """Trees for label 1 (good). Rows that the fixed rules reject are not learned from; no labels: every row is good."""
+    """Trees for label 1 (good). Rows that the fixed rules reject are not learned from; no labels: every row is good. An id labelled more than once has
+    its largest label, one found on several documents gives the text of least hash; null ids, labels and texts are not learned from."""
     x, y = labelled(docs, labels, id_col, text_col, label_col, sample)
     return gbt.fit(x, y, {FEATURES.index(f): -1 for f in FALLING}) if len(y) else gbt.fit(np.zeros((0, len(FEATURES))), np.zeros(0))
 
@@ -157,7 +160,9 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 def assess(docs: DataFrame, model: gbt.Trees | None, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
     """docs with a struct column ``quality_``: BASE, base_failed, score (probability of good), kept.
 
-    Null text: no words, so the fixed rules reject it. All other columns pass through unchanged, whatever their names."""
+    Null and empty texts: no words, so the fixed rules reject them. Rows are judged one by one, so repeated rows and ties get equal results and an empty
+    table gives an empty one; texts are read whole. All other columns pass through unchanged; a column named ``quality_`` is refused."""
+    refuse(docs, "quality_")
     fields = ", ".join(f"{c}: long" for c in BASE) + ", base_failed: boolean, score: double, kept: boolean"
     @F.pandas_udf(f"struct<{fields}>".replace(": ", ":"))
     def quality(text: pd.Series) -> pd.DataFrame:
