@@ -1,8 +1,8 @@
 """Operator 8, mixing sources to target weights.
 
-The words of a source, its documents end to end, are packed into blocks of a fixed number of words. Each output shard draws how
-many of its slots go to each source (multinomial, by what the source's quota still lacks, so totals come out as asked). The k-th slot of
-a source takes block p(k mod blocks), p a keyed permutation of block numbers: every block is taken k/blocks times, rounded down or up, and
+The words of a source, its documents end to end, are packed into blocks of a fixed number of words (fewer in sources so small that whole blocks could not meet
+a target). Each output shard draws how many of its slots go to each source (multinomial, by what the source's quota still lacks, so totals come out as asked).
+The k-th slot of a source takes block p(k mod blocks), p a keyed permutation of block numbers: every block is taken k/blocks times, rounded down or up, and
 slots meet blocks in a join by number.
 """
 
@@ -16,21 +16,23 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from toolspark.llm.common import WORD, read, row_key
+from toolspark.llm.common import WORD, free, read, refuse, row_key, written
 
 BLOCK = 32
+#: Blocks that a source should have at least; smaller sources get shorter blocks.
+FINE = 64
 SEED = 8
 WEIGHTS = (1, 2, 3)
 MOST = 3
-#: Slots of a shard, until there are MAX_SHARDS; then shards grow.
+#: Slots of a shard, until there are MAX_SHARDS; then shards grow. Small mixes still have MIN_SHARDS.
 SLOTS = 4096
-MAX_SHARDS = 4096
+MIN_SHARDS, MAX_SHARDS = 8, 4096
 #: Counts by shard and source, which the driver holds: with many sources there are fewer and larger shards.
 MAX_COUNTS = 1 << 20
 #: Rows of the table of sources, which the driver holds.
 MAX_SOURCES = 1_000_000
-#: Documents in a part of a source over which one running sum goes.
-PART = 500
+#: Documents in a part of a source over which one running sum goes, and parts in a chunk, whose sums are added up the same way.
+PART, CHUNK = 500, 1000
 
 
 def n_words(text: str | Column) -> Column:
@@ -77,7 +79,7 @@ def permute(index: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
 def shard_counts(quotas: list[int], slots: int, max_shards: int, seed: int, max_counts: int = MAX_COUNTS) -> np.ndarray:
     """A row for each shard, a column for each source; columns add up to the quotas."""
     left = np.array(quotas, np.int64)
-    shards = max(1, min(max_shards, math.ceil(left.sum() / slots), max_counts // len(left))) if len(left) else 0
+    shards = max(1, min(max(MIN_SHARDS, math.ceil(left.sum() / slots)), max_shards, max_counts // len(left))) if len(left) else 0
     rng, out = np.random.default_rng(seed), np.zeros((shards, len(left)), np.int64)
     for s in range(shards):
         size = math.ceil(left.sum() / (shards - s))
@@ -99,24 +101,25 @@ def shard_counts(quotas: list[int], slots: int, max_shards: int, seed: int, max_
 
 @dataclass
 class Mix:
-    sources: pd.DataFrame  # source, index, source_size, target, blocks, quota
-    spans: DataFrame  # every row with words: id, rid, src, at (its words before it in the source), size, source
+    sources: pd.DataFrame  # source, index, source_size, target, block (its words), blocks, quota
+    spans: DataFrame  # every row with words: id, rid, src, at (its words before it in the source), size, source, words (of a block)
     slots: DataFrame  # shard, slot, src, block
     rows: DataFrame  # all rows: id, rid, source, size
 
 
-def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", carry: bool = False) -> Mix:
+def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> Mix:
     spark = docs.sparkSession
-    rows = docs.select(row_key(id_col, text_col)[0], F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"))
+    rows = written(docs.select(row_key(id_col, text_col)[0], F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size")), "sizes")
     found = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n")).limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
         raise ValueError(f"more than {MAX_SOURCES} sources")
     found.sort(key=lambda r: (r.source is None, r.source or ""))
     sizes = [int(r.source_size) for r in found]
     target = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))], most)
-    blocks = [-(-s // block) for s in sizes]
+    words = [max(1, min(block, s // FINE)) for s in sizes]
+    blocks = [-(-s // w) for s, w in zip(sizes, words, strict=True)]
     quota = [min(most * b, round(t * b / s)) if s else 0 for s, t, b in zip(sizes, target, blocks, strict=True)]
-    table = pd.DataFrame({"source": [r.source for r in found], "src": range(len(found)), "source_size": sizes, "target": target, "blocks": blocks, "quota": quota})
+    table = pd.DataFrame({"source": [r.source for r in found], "src": range(len(found)), "source_size": sizes, "target": target, "block": words, "blocks": blocks, "quota": quota})
     counts = shard_counts(quota, SLOTS, MAX_SHARDS, seed)
     before = np.cumsum(counts, 0) - counts
     s, i = np.nonzero(counts)
@@ -132,33 +135,35 @@ def plan(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST
 
     slots = slots.select("shard", "slot", "src", choose("slot", "blocks", "src").alias("block"))
 
-    # where each document's words start in its source: running sums over parts of a source, and over the parts' sums
+    # where each document's words start in its source: running sums over parts of a source, over the parts of a chunk and over the chunks
     parts = max(1, math.ceil(sum(r.n for r in found) / PART))
-    numbered = spark.createDataFrame([(r.source, k) for k, r in enumerate(found)], "source string, src int")
-    own = rows.where("size > 0").join(numbered.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    numbered = spark.createDataFrame([(r.source, k, w) for k, (r, w) in enumerate(zip(found, words, strict=True))], "s string, src int, words int")
+    own = rows.where("size > 0").join(numbered, F.col("source").eqNullSafe(F.col("s"))).drop("s")
     own = own.withColumn("part", F.pmod(F.xxhash64("id", "rid"), F.lit(parts)))
-    sums = own.groupBy("src", "part").agg(F.sum("size").alias("sum"))
-    sums = sums.select("src", "part", (F.sum("sum").over(Window.partitionBy("src").orderBy("part")) - F.col("sum")).alias("base"))
+    before_ = lambda value, *keys: F.sum(value).over(Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, 0)) - F.col(value)
+    sums = written(own.groupBy("src", "part").agg(F.sum("size").alias("sum")).withColumn("chunk", F.expr(f"part div {CHUNK}")), "parts")
+    chunks_ = sums.groupBy("src", "chunk").agg(F.sum("sum").alias("all")).withColumn("base", before_("all", "src", "chunk")).drop("all")
+    sums = sums.withColumn("inside", before_("sum", "src", "chunk", "part")).join(chunks_, ["src", "chunk"]).select("src", "part", (F.col("base") + F.col("inside")).alias("base"))
     w = Window.partitionBy("src", "part").orderBy("id", "rid").rowsBetween(Window.unboundedPreceding, 0)
     spans = own.withColumn("at", F.sum("size").over(w) - F.col("size")).join(sums, ["src", "part"]).withColumn("at", F.col("at") + F.col("base")).drop("base", "part")
     return Mix(table, spans, slots, rows)
 
 
-def taken_blocks(mix: Mix, block: int = BLOCK) -> DataFrame:
+def taken_blocks(mix: Mix) -> DataFrame:
     """(id, rid, src, at, size, source, block, first, last, times): for each document and block of it, the words of the document in the block and how often it is taken."""
     times = mix.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
-    cover = mix.spans.withColumn("block", F.explode(F.expr(f"sequence(at div {block}, (at + size - 1) div {block})")))
-    cover = cover.withColumn("first", F.greatest(F.col("block") * block - F.col("at"), F.lit(0).cast("long"))).withColumn("last", F.least((F.col("block") + 1) * block - F.col("at"), F.col("size")))
+    cover = mix.spans.withColumn("block", F.explode(F.expr("sequence(at div words, (at + size - 1) div words)")))
+    cover = cover.withColumn("first", F.greatest(F.col("block") * F.col("words") - F.col("at"), F.lit(0).cast("long"))).withColumn("last", F.least((F.col("block") + 1) * F.col("words") - F.col("at"), F.col("size")))
     return cover.join(times, ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row for each document: id, source, size, source_size, target (of its source), taken (words, repeats counted).
 
-    Null text: size 0. Null source: a source of its own, last. Rows that are alike in all columns count one by one. The same rows, seed and block give the same mix,
+    Null or empty text: size 0. Null source: a source of its own, last. Texts are read whole; an empty table gives an empty result; other columns are not looked at. Rows that are alike in all columns count one by one. The same rows, seed and block give the same mix,
     however they are partitioned."""
     mix = plan(docs, weights, most, block, seed, id_col, text_col, source_col)
-    sums = taken_blocks(mix, block).groupBy("src", "at", "id", "size", "source").agg(F.sum(F.col("times") * (F.col("last") - F.col("first"))).alias("taken")).select("id", "source", "size", "taken")
+    sums = taken_blocks(mix).groupBy("src", "at", "id", "size", "source").agg(F.sum(F.col("times") * (F.col("last") - F.col("first"))).alias("taken")).select("id", "source", "size", "taken")
     rows = sums.unionByName(mix.rows.where("size = 0").select("id", "source", "size", F.lit(0).cast("long").alias("taken")))
     about = docs.sparkSession.createDataFrame([(r.source, int(r.source_size), float(r.target)) for r in mix.sources.itertuples()], "s string, source_size long, target double")
     return rows.join(about, F.col("source").eqNullSafe(F.col("s")), "left").select(F.col("id").alias(id_col), "source", "size", "source_size", "target", "taken")
@@ -166,12 +171,14 @@ def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOS
 
 def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """The documents as the mix takes them: a column ``mixed_`` with the words taken (once more on a line of its own for each
-    further time), and only documents of which something is taken. Neighbouring blocks stay as they stand in the text."""
+    further time), and only documents of which something is taken. Neighbouring blocks stay as they stand in the text. Null and empty texts give no row;
+    alike rows are mixed one by one; an empty table gives an empty result. A column named ``mixed_`` is refused, others pass through."""
+    refuse(docs, "mixed_")
     mix = plan(docs, weights, most, block, seed, id_col, text_col, source_col)
     # rows alike in id, text and source stand side by side in the source; they are told apart by their turn
     turn = Window.partitionBy("rid", "id", "source").orderBy("at")
     mix.spans = mix.spans.withColumn("turn", F.row_number().over(turn))
-    cover = taken_blocks(mix, block).where("times > 0").groupBy("rid", "id", "source", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("blocks_"))
+    cover = taken_blocks(mix).where("times > 0").groupBy("rid", "id", "source", "turn").agg(F.sort_array(F.collect_list(F.struct("first", "last", "times"))).alias("blocks_"))
     import re
 
     word = re.compile(r"[^\x20\x09-\x0D]+")
@@ -194,11 +201,13 @@ def mixed_texts(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int
             out.append("\n".join(lines))
         return pd.Series(out)
 
-    keyed = docs.withColumns({"rid_": row_key(id_col, text_col)[0], "source_": F.col(source_col).cast("string")})
-    keyed = keyed.withColumn("turn_", F.row_number().over(Window.partitionBy("rid_", id_col, "source_").orderBy("rid_")))
-    cover = cover.select(F.col("rid").alias("rid2_"), F.col("id").alias("id2_"), F.col("source").alias("source2_"), F.col("turn").alias("turn2_"), "blocks_")
-    both = keyed.join(cover, (F.col("rid_") == F.col("rid2_")) & F.col(id_col).eqNullSafe(F.col("id2_")) & F.col("source_").eqNullSafe(F.col("source2_")) & (F.col("turn_") == F.col("turn2_")))
-    return both.withColumn("mixed_", cut(F.col(text_col), F.col("blocks_"))).drop("rid_", "source_", "turn_", "rid2_", "id2_", "source2_", "turn2_", "blocks_")
+    row, rid, turn_ = (free(docs, n) for n in ("row", "rid", "turn"))
+    keyed = docs.select(F.struct(*docs.columns).alias(row), row_key(id_col, text_col)[0].alias(rid))
+    own, source = F.col(f"{row}.{id_col}"), F.col(f"{row}.{source_col}").cast("string")
+    keyed = keyed.withColumn(turn_, F.row_number().over(Window.partitionBy(rid, own, source).orderBy(rid)))
+    cover = cover.select(F.col("rid").alias("rid2"), F.col("id").alias("id2"), F.col("source").alias("source2"), F.col("turn").alias("turn2"), "blocks_")
+    both = keyed.join(cover, (keyed[rid] == cover["rid2"]) & own.eqNullSafe(F.col("id2")) & source.eqNullSafe(F.col("source2")) & (keyed[turn_] == cover["turn2"]))
+    return both.select(f"{row}.*", cut(F.col(f"{row}.{text_col}"), F.col("blocks_")).alias("mixed_"))
 
 
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
