@@ -3,21 +3,27 @@
 A surrogate is a function of a secret key, the entity's type and its canonical value, so the same entity gets the same surrogate
 everywhere (a number however it is punctuated, a name token alone or with another). It keeps the form: digits stay digits, letters keep case and
 script, hexadecimal stays hexadecimal, punctuation stays, a card number that passes the Luhn check still does, an account number has valid
-check digits, given names keep the gender their title shows.
+check digits, given names keep the gender their title shows; after a title that shows none, the gender shown elsewhere in the corpus.
 
 Collision check: over all distinct entities, a surrogate that two entities share, or that is itself an entity of the corpus, is drawn again
 with the next attempt number until none is left. Where so many entities share a short form that draws keep colliding, surrogates get
 longer (or leave a private range of addresses), so this ends. Those few later attempts are looked up by entity; all others are recomputed in place.
+
+The key is the setting `KEY`. Without one each session draws a key of its own, so nobody can recompute surrogates, but other sessions get others.
+Names are found by their titles only.
 """
 
 from __future__ import annotations
 
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from toolspark.llm.common import read, row_key, shared_dir
+from toolspark.llm.common import free, read, refuse, row_key, written
 
-KEY = "toolspark"
+#: The setting that holds the secret key.
+KEY = "spark.toolspark.private.key"
 #: Later attempts up to which they are a map in the plan; beyond, a join.
 IN_PLAN = 500
 #: From this attempt on a surrogate gets one more digit with each attempt, at most MOST_WIDER.
@@ -154,7 +160,16 @@ def entity(e: Column) -> Column:
     return let(kind, lambda k: let(F.struct(k.alias("k"), heads(k).alias("h")), lambda s: named(s["k"], s["h"])))
 
 
-def surrogate(kind: Column, value: Column, attempt: Column, key: str = KEY) -> Column:
+def secret_key(spark: SparkSession) -> str:
+    """The session's key; drawn at random where none is set."""
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(32)
+        spark.conf.set(KEY, key)
+    return key
+
+
+def surrogate(kind: Column, value: Column, attempt: Column, key: str) -> Column:
     """The canonical surrogate of a canonical value."""
     bound = F.struct(kind.alias("k"), value.alias("v"), attempt.cast("int").alias("n"), _digest(F.lit(key), kind, value, attempt.cast("string")).alias("h"))
     return let(bound, lambda s: _surrogate(s["k"], s["v"], s["n"], s["h"], key))
@@ -208,48 +223,61 @@ def entities(text: Column) -> Column:
     return F.transform(found, entity)
 
 
-def later_attempts(docs: DataFrame, key: str = KEY, text_col: str = "text", most: int = 64) -> DataFrame:
-    """(kind, value, attempt) of the entities whose first surrogate is another entity, or another entity's surrogate."""
-    shared_dir(docs.sparkSession)
+def later_attempts(docs: DataFrame, key: str, text_col: str = "text", most: int = 64) -> DataFrame:
+    """(kind, value, as_kind, attempt) of the entities whose first surrogate is another entity or another entity's surrogate, and of the given names
+    that stand after a title without gender here and after one with gender elsewhere, which makes them names of that gender."""
     units = docs.select(F.explode(F.flatten(F.transform(entities(F.col(text_col)), lambda e: e["units"]))).alias("u")).select("u.kind", "u.value").distinct()
-    units = units.checkpoint()
-    group = F.when(F.col("kind").startswith("given_"), "given").otherwise(F.col("kind"))
-    taken = units.select(group.alias("group"), F.col("value").alias("made"))
-    todo, out = units.withColumn("attempt", F.lit(0)), None
+    units = written(units, "units")
+    shown = units.where(F.col("kind").isin("given_m", "given_f")).groupBy("value").agg(F.min("kind").alias("shown"))
+    units = written(units.join(shown, "value", "left").select("kind", "value", F.when((F.col("kind") == "given_n") & F.col("shown").isNotNull(), F.col("shown")).otherwise(F.col("kind")).alias("as_kind")), "units")
+    group = F.when(F.col("as_kind").startswith("given_"), "given").otherwise(F.col("as_kind"))
+    todo, out = units.select("as_kind", "value").distinct().withColumn("attempt", F.lit(0)), None
+    taken = todo.select(group.alias("group"), F.col("value").alias("made"))
     for _ in range(most):
-        made = todo.withColumns({"made": surrogate(F.col("kind"), F.col("value"), F.col("attempt"), key), "group": group})
-        best = made.groupBy("group", "made").agg(F.min(F.struct("value", "kind")).alias("best"))
+        made = todo.withColumns({"made": surrogate(F.col("as_kind"), F.col("value"), F.col("attempt"), key), "group": group})
+        best = made.groupBy("group", "made").agg(F.min(F.struct("value", "as_kind")).alias("best"))
         made = made.join(best, ["group", "made"]).join(taken.withColumn("used", F.lit(True)).distinct(), ["group", "made"], "left")
-        made = made.withColumn("bad", F.col("used").isNotNull() | (F.struct("value", "kind") != F.col("best"))).checkpoint()
+        made = written(made.withColumn("bad", F.col("used").isNotNull() | (F.struct("value", "as_kind") != F.col("best"))), "surrogates")
         good = made.where("not bad")
-        out = good.where("attempt > 0").select("kind", "value", "attempt") if out is None else out.union(good.select("kind", "value", "attempt"))
-        todo = made.where("bad").select("kind", "value", (F.col("attempt") + 1).alias("attempt"))
+        later = good.where("attempt > 0").select("as_kind", "value", "attempt")
+        out = later if out is None else out.union(later)
+        todo = made.where("bad").select("as_kind", "value", (F.col("attempt") + 1).alias("attempt"))
         if todo.isEmpty():
-            return out
+            return units.join(out, ["as_kind", "value"], "left").where("attempt is not null or kind <> as_kind").select("kind", "value", "as_kind", F.coalesce("attempt", F.lit(0)).alias("attempt"))
         taken = taken.union(good.select("group", "made"))
     raise RuntimeError(f"surrogates still collide after {most} attempts")
 
 
-def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def replaced(docs: DataFrame, key: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the text's entities replaced, and a column ``private_``: array of struct(kind, found, surrogate).
 
-    Null text stays null, with no entities. Other columns pass through unchanged. Equal entities have equal surrogates in all rows."""
-    later = later_attempts(docs, key, text_col).checkpoint()
+    Null text stays null and empty text empty, with no entities. Texts are read whole. Other columns pass through unchanged, a column named ``private_`` is
+    refused. Equal entities have equal surrogates in all rows, so repeated rows stay alike; an empty table gives an empty result. No key: `secret_key`."""
+    refuse(docs, "private_")
+    key = key or secret_key(docs.sparkSession)
+    later = written(later_attempts(docs, key, text_col), "later")
     some = later.limit(IN_PLAN + 1).collect()
-    attempt = lambda u: F.lit(0)
-    rows = docs
+    name = lambda u: F.concat_ws("|", u["kind"], u["value"])
+    shown = F.concat_ws("|", "as_kind", "attempt")
+    told, rows = None, docs
     if 0 < len(some) <= IN_PLAN:
-        table = F.create_map(*[F.lit(x) for r in some for x in (f"{r.kind}|{r.value}", int(r.attempt))])
-        attempt = lambda u: F.coalesce(F.element_at(table, F.concat_ws("|", u["kind"], u["value"])), F.lit(0))
+        told = F.create_map(*[F.lit(x) for r in some for x in (f"{r.kind}|{r.value}", f"{r.as_kind}|{r.attempt}")])
     elif some:
-        rows = docs.withColumn("rid_", row_key(id_col, text_col)[0])
-        units = rows.select("rid_", F.explode(F.flatten(F.transform(entities(F.col(text_col)), lambda e: e["units"]))).alias("u")).select("rid_", "u.kind", "u.value").distinct()
-        by_row = units.join(later, ["kind", "value"]).groupBy(F.col("rid_").alias("rid2_")).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), "attempt"))).alias("attempts_"))
-        rows = rows.join(by_row, F.col("rid_") == F.col("rid2_"), "left")
-        attempt = lambda u: F.coalesce(F.element_at("attempts_", F.concat_ws("|", u["kind"], u["value"])), F.lit(0))
+        rid, rid2, own = (free(docs, n) for n in ("rid", "rid2", "later"))
+        rows = docs.withColumn(rid, row_key(id_col, text_col)[0])
+        units = rows.select(rid, F.explode(F.flatten(F.transform(entities(F.col(text_col)), lambda e: e["units"]))).alias("u")).select(rid, "u.kind", "u.value").distinct()
+        by_row = units.join(later, ["kind", "value"]).groupBy(F.col(rid).alias(rid2)).agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "kind", "value"), shown))).alias(own))
+        rows = rows.join(by_row, F.col(rid) == F.col(rid2), "left")
+        told = F.col(own)
+
+    def made(u: Column) -> Column:
+        if told is None:
+            return surrogate(u["kind"], u["value"], F.lit(0), key)
+        found = lambda t: F.struct(F.coalesce(F.substring_index(t, "|", 1), u["kind"]).alias("k"), F.coalesce(F.substring_index(t, "|", -1).cast("int"), F.lit(0)).alias("n"))
+        return let(F.element_at(told, name(u)), lambda t: let(found(t), lambda x: surrogate(x["k"], u["value"], x["n"], key)))
 
     def unit(u: Column) -> Column:
-        return rendered(u["kind"], u["shown"], surrogate(u["kind"], u["value"], attempt(u), key))
+        return rendered(u["kind"], u["shown"], made(u))
 
     def whole(e: Column) -> Column:
         return F.struct(e["kind"].alias("kind"), F.concat(e["head"], F.array_join(F.transform(e["units"], lambda u: u["shown"]), " ")).alias("found"), F.concat(e["head"], F.array_join(F.transform(e["units"], unit), " ")).alias("surrogate"))
@@ -258,7 +286,7 @@ def replaced(docs: DataFrame, key: str = KEY, id_col: str = "doc_id", text_col:
     rows = rows.withColumn("private_", F.transform(entities(text), whole))
     joined = F.array_join(F.zip_with(F.split(text, PATTERN, -1), F.transform("private_", lambda e: e["surrogate"]), lambda p, s: F.concat(p, F.coalesce(s, F.lit("")))), "")
     rows = rows.withColumn(text_col, F.when(F.size("private_") > 0, joined).otherwise(text))
-    return rows.drop("rid_", "rid2_", "attempts_")
+    return rows.select(*docs.columns, "private_")
 
 
 def op2_private(spark: SparkSession, sf_dir: str) -> DataFrame:
