@@ -16,6 +16,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
@@ -149,7 +150,8 @@ def pack(sizes: list[int], length: int = LENGTH) -> list[list[tuple[int, int, in
 def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH, end: int = END, group: int = GROUP, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: id, start, length, ids, doc_tokens, sequence_id, offset.
 
-    Null text: empty, so only the end token. Repeated rows are packed each for itself. A text is tokenised as a whole, whatever its length."""
+    Null text: empty, so only the end token. Repeated rows are packed each for itself. A text is tokenised as a whole, whatever its length. Null ids and ties
+    have a fixed order in their group, so reruns agree. An empty table gives an empty result; other columns are not looked at."""
     tokenizer = tokenizer or default_tokenizer()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
@@ -157,8 +159,9 @@ def packed(docs: DataFrame, tokenizer: str | None = None, length: int = LENGTH,
     rows = rows.withColumn("group", F.pmod(F.xxhash64(F.lit(seed), "id", "text"), F.lit(groups)))
 
     def run(t: pa.Table) -> pa.Table:
-        order = np.argsort(t.column("id").to_pandas().to_numpy(), kind="stable") if t.column("id").null_count == 0 else np.arange(t.num_rows)
-        t = t.take(pa.array(order))
+        ids_, texts = t.column("id").to_pylist(), t.column("text").to_pylist()
+        # null ids last, ties by text, so reruns agree
+        t = t.take(pa.array(sorted(range(t.num_rows), key=lambda i: (ids_[i] is None, 0 if ids_[i] is None else ids_[i], xxhash.xxh3_64_intdigest(texts[i])))))
         number = t.column("group")[0].as_py()
         ids = [np.append(x, np.int32(end)) for x in encoder(tokenizer)(t.column("text").to_pylist())]
         rows = [(d, s, n, q, i) for q, seq in enumerate(pack([len(x) for x in ids], length)) for i, (d, s, n) in enumerate(seq)]
