@@ -28,8 +28,8 @@ FULL = 160
 HASHES = 5
 #: Bits of entropy of a window of running text, and below which a window says nothing.
 USUAL, LEAST = 3.75, 2.4
-#: Bytes of text in a range of ids that one task works through in order, and the most such ranges.
-RANGE, MAX_RANGES = 16 << 20, 2_000_000
+#: Bytes of text in a range of ids that one task works through in order, and the most such ranges; beyond, ranges grow.
+RANGE, MAX_RANGES = 16 << 20, 20_000
 
 _g = np.concatenate([[0.0], np.arange(1, WINDOW + 1) * np.log2(np.arange(1, WINDOW + 1))])
 _GAIN = np.round(np.diff(_g) * (1 << 20)).astype(np.int64)
@@ -148,6 +148,28 @@ def chains(texts: list[bytes]) -> list[tuple[np.ndarray, int]]:
     return [(filters(h), len(h)) for h in features(texts)]
 
 
+class Ranges:
+    """Numbers ranges of rows in the order of id (nulls first), then of the row's hash: between cuts of ids, and, where an id or null is so frequent
+    that it makes several cuts, by equal shares of the hashes."""
+
+    def __init__(self, cuts: list[int], nulls: int) -> None:
+        self.cuts, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        self.times, self.nulls = np.where(times > 1, times, 0), max(1, nulls)
+        # ranges before a cut's own: nulls, and for each earlier cut its own and the one behind it
+        self.base = self.nulls + 1 + np.concatenate([[0], np.cumsum(self.times + 1)])
+
+    def of(self, ids: np.ndarray, null: np.ndarray, rid: np.ndarray) -> np.ndarray:
+        share = (rid.astype(np.int64).view(np.uint64) ^ np.uint64(1 << 63)).astype(np.float64) / 2.0**64
+        out = np.zeros(len(ids), np.int64)
+        out[:] = np.minimum(share * self.nulls, self.nulls - 1)
+        behind = np.searchsorted(self.cuts, ids, "right")
+        at = np.maximum(behind - 1, 0)
+        own = (behind > 0) & (self.cuts[at] == ids) & (self.times[at] > 0) if len(self.cuts) else np.zeros(len(ids), bool)
+        times = self.times[at] if len(self.cuts) else np.zeros(len(ids), np.int64)
+        place = np.where(own, self.base[at] + np.minimum(share * times, times - 1).astype(np.int64), self.base[behind] - 1)
+        return np.where(null, out, place)
+
+
 def with_next(docs: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE) -> DataFrame:
     """Calls fn(list of (id, text, next text)) -> RecordBatch over all rows by ascending id; the last row's next is the first row.
 
@@ -155,19 +177,23 @@ def with_next(docs: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col
     Ties in id go by a hash of the row. Null ids come first. A range's bounds and first row are all the driver holds of it."""
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), row_key(id_col, text_col)[0].alias("rid"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    total = rows.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
+    size = F.octet_length("text") + 64
+    total, null_bytes = (x or 0 for x in rows.agg(F.sum(size), F.sum(F.when(F.col("id").isNull(), size))).first())
     n = int(min(MAX_RANGES, max(1, -(-total // range_bytes))))
-    if n > 1:
-        cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or []
-    else:
-        cuts = []
-    bounds = np.unique(np.array(cuts, np.int64))
+    cuts = rows.agg(F.percentile_approx("id", [i / n for i in range(1, n)], max(10_000, 20 * n))).first()[0] or [] if n > 1 else []
+    ranges = Ranges(cuts, round(n * null_bytes / total) if total else 1)
+
+    def numbered(ids: np.ndarray, null: np.ndarray, rid: np.ndarray) -> np.ndarray:
+        return ranges.of(ids, null, rid)
 
     @F.pandas_udf("long")
-    def place(x):
-        return x.isna().map({True: 0, False: 1}) * (1 + np.searchsorted(bounds, x.fillna(0).to_numpy().astype(np.int64), "right"))
+    def place(x, null, rid):
+        import pandas as pd
+
+        return pd.Series(numbered(x.to_numpy(np.int64), null.to_numpy(bool), rid.to_numpy(np.int64)))
 
-    heads = sorted(rows.select("id", "rid").groupBy(place("id").alias("range")).agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "rid")).alias("head")).collect())
+    where_ = place(F.coalesce("id", F.lit(0)).cast("long"), F.col("id").isNull(), "rid")
+    heads = sorted(rows.select("id", "rid").groupBy(where_.alias("range")).agg(F.min(F.struct(F.col("id").isNotNull().alias("some"), "id", "rid")).alias("head")).collect())
     names = [r["range"] for r in heads]
     sent = {}
     for i, r in enumerate(heads):
@@ -177,7 +203,7 @@ def with_next(docs: DataFrame, fn, schema: str, id_col: str = "doc_id", text_col
         for b in batches:
             ids = b.column("id")
             x = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            where = np.where(ids.is_null().to_numpy(zero_copy_only=False), 0, 1 + np.searchsorted(bounds, x, "right"))
+            where = numbered(x, ids.is_null().to_numpy(zero_copy_only=False), b.column("rid").to_numpy())
             yield pa.RecordBatch.from_arrays([pa.array(where), pa.array(np.zeros(len(x), np.int32)), ids, b.column("rid"), b.column("text")], ["range", "tail", "id", "rid", "text"])
             pairs = zip(ids.to_pylist(), b.column("rid").to_pylist(), strict=True)
             more = [(i, to) for i, k in enumerate(pairs) for to in sent.get(k, ())]
@@ -215,7 +241,8 @@ def edited(text: str, following: str) -> str:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", range_bytes: int = RANGE) -> DataFrame:
     """id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next; ids are integers. Null text: empty.
 
-    A table of one row has itself as next row; an empty table gives an empty result."""
+    Ties in id are ordered by a hash of the row, null ids come first; a frequent id is spread over ranges, rows alike in id and text stay together.
+    A table of one row has itself as next row; an empty table gives an empty result. Texts are read whole; other columns are not looked at."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def fn(rows: list[tuple]) -> pa.RecordBatch:
