@@ -82,6 +82,28 @@ def test_substring_dedup(spark, texts, hot, width):
     assert key(map(tuple, got)) == key(want)
 
 
+def test_sketch_loses_nothing_and_rules_out(spark):
+    rng = random.Random(8)
+    grams = [rng.randrange(-(1 << 63), 1 << 63) for _ in range(3000)]
+    grams += grams[:200] + [0] * 50
+    found = spark.createDataFrame([(g,) for g in grams], "gram long").repartition(5)
+    often = {g for g, n in collections.Counter(grams).items() if n > 1}
+    for width, most in ((1 << 27, 210), (256, len(grams))):
+        kept = [r.gram for r in substring_dedup.estimated_repeated(found, width=width).collect()]
+        assert sum(g in often for g in grams) == sum(g in often for g in kept) and len(set(kept)) <= max(most, 210)
+
+
+def test_repeats_with_text_ids_and_rows_alike(spark, texts):
+    rows = [*texts, *[(9000, "one row " * 60)] * 300]
+    docs = make(spark, rows)
+    named = docs.withColumn("doc_id", F.concat(F.lit("n"), "doc_id"))
+    for dedup in (suffix_dedup.dedup, substring_dedup.dedup):
+        want, got = dedup(docs).collect(), dedup(named).collect()
+        assert key(map(tuple, got)) == key((None if r[0] is None else f"n{r[0]}", *r[1:]) for r in want)
+        alike = [r for r in want if r.doc_id == 9000]
+        assert len(alike) == 300 and len({r.n_removed for r in alike}) == 1 and alike[0].n_removed in (480, 120)
+
+
 def fingerprint(t):
     w = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (t or "").encode()))
     if not w:
@@ -90,7 +112,7 @@ def fingerprint(t):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
-@pytest.mark.parametrize("bucket", [simhash.BUCKET, 1])
+@pytest.mark.parametrize("bucket", [simhash.BUCKET, 4])
 def test_simhash(spark, texts, bucket):
     rows = [r for r in texts if r[0] is not None]
     fp = {i: fingerprint(t) for i, t in rows}
@@ -229,7 +251,26 @@ def test_toxicity_on_held_out_labels(spark):
     got = toxicity.scored(docs, chain).drop("n").withColumnRenamed("toxic", "said").join(labels.where("doc_id % 2 = 1"), "doc_id").select("toxic", "said").collect()
     hit = sum(r.said for r in got if r.toxic)
     assert hit > 0.85 * sum(r.toxic for r in got) and sum(r.said for r in got if not r.toxic) < 0.01 * len(got)
-    assert np.count_nonzero(chain.earlier) == 6
+    assert np.count_nonzero(chain.earlier) == 6 and (np.array(chain.names) == ["kind_1", "kind_2", "kind_3", "toxic"]).all()
+
+
+def test_toxicity_without_toxic_labels_and_odd_texts(spark):
+    docs = make(spark, [*[(i, "good words and more") for i in range(30)], (90, None), (91, ""), (92, "bad " * 50_000), (92, "bad " * 50_000), (None, "bad")])
+    none = spark.createDataFrame([(i, 0) for i in range(30)], "doc_id long, toxic int")
+    assert not any(r.toxic for r in toxicity.scored(docs, toxicity.fit(docs, none)).collect())
+    some = make(spark, [(i, "good words and more") for i in range(300)] + [(i, ["awful bad", "bad nasty", "vile"][i % 3] + f" t{i}") for i in range(300, 360)])
+    labels = spark.createDataFrame([(i, int(i >= 300)) for i in range(360)] + [(5, None), (None, 1), (301, 1)], "doc_id long, toxic int")
+    chain = toxicity.fit(some, labels)
+    got = {(r.doc_id, r.toxic) for r in toxicity.scored(docs, chain).collect()}
+    assert got == {*((i, False) for i in range(30)), (90, False), (91, False), (92, True), (None, True)}
+    assert len({(r.p_kind_1 > 0.5, r.p_kind_2 > 0.5, r.p_kind_3 > 0.5) for r in toxicity.scored(some, chain).where("doc_id >= 300").collect()}) == 3
+
+
+def test_kinds_are_clusters():
+    words = [[0, 1], [0, 1, 2], [0, 2], [5, 6], [5, 6], [8], [], [0]]
+    row, feature = np.repeat(np.arange(8), [len(w) for w in words]), np.concatenate([np.array(w, int) for w in words])
+    toxic = np.array([1, 1, 1, 1, 1, 1, 1, 0], bool)
+    assert toxicity.kinds(row, feature, 8, 9, toxic).astype(int).T.tolist() == [[1, 1, 1, 0, 0, 0, 0, 0], [0, 0, 0, 1, 1, 0, 0, 0], [0, 0, 0, 0, 0, 1, 0, 0]]
 
 
 def test_private(spark):
@@ -251,6 +292,22 @@ def test_private(spark):
     assert got[2].text.startswith('token = "') and '"###' in got[2].text
 
 
+def test_private_names_are_one_whatever_the_title_and_keys_matter(spark):
+    rows = [(1, "Mrs Anna Smith and Dr Anna Smith, Mr. Karl Weiss"), (2, "Prof Karl Weiss; Dr Robin Fox"), (3, "Dr. ANNA SMITH " + "x " * 30_000), (3, "Dr. ANNA SMITH " + "x " * 30_000)]
+    odd = make(spark, rows).withColumns({"rid2": F.lit(1), "later": F.lit(2), "u": F.lit(3), "kind": F.lit(4), "value": F.lit(5)})
+    got = private.replaced(odd, "k1").collect()
+    by = {x.found: x.surrogate for r in got for x in r.private_}
+    bare = lambda f: by[f].split(" ", 1)[1]
+    assert bare("Mrs Anna Smith") == bare("Dr Anna Smith") == bare("Dr. ANNA SMITH").title() and bare("Mr. Karl Weiss") == bare("Prof Karl Weiss")
+    assert any(bare("Mrs Anna Smith").split()[0].endswith(e) for e in private.ENDINGS["latin"]["f"]) and len({bare(f).title() for f in by}) == 3
+    assert all((r.rid, r.rid2, r.later, r.u, r.kind, r.value) == ("x", 1, 2, 3, 4, 5) for r in got) and got[-1].text[14:] == got[-2].text[14:]
+    again, other = ({x.found: x.surrogate for r in private.replaced(odd, k).collect() for x in r.private_} for k in ("k1", "k2"))
+    assert again == by and all(other[f] != s for f, s in by.items())
+    assert private.secret_key(spark) == private.secret_key(spark) and len(private.secret_key(spark)) >= 32
+    with pytest.raises(ValueError):
+        private.replaced(odd.withColumn("private_", F.lit(1)))
+
+
 def test_private_surrogates_stay_distinct(spark):
     rows = [(i, f"10.0.0.{i} 10.0.1.{i} and 10.1.{i}.7") for i in range(1, 200)]
     found = [x for r in private.replaced(make(spark, rows)).collect() for x in r.private_]
@@ -394,8 +451,8 @@ def test_near_dedup_stage_finds_all_pairs_of_similarity(spark):
                 a, b = sorted((top(i), top(j)))
                 root[b] = a
     want = {i: top(i) for i in sets}
-    for bucket in (near.BUCKET, 1, 3):
-        assert {r.doc_id: r.component_id for r in near.near_duplicates(make(spark, rows), bucket=bucket).collect()} == want
+    for bucket, tile in ((near.BUCKET, near.TILE), (1, near.TILE), (1, 3)):
+        assert {r.doc_id: r.component_id for r in near.near_duplicates(make(spark, rows), bucket=bucket, tile=tile).collect()} == want
     docs = make(spark, rows).select("doc_id", "text", "lang", "source", "n_chars")
     assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, DATA).collect()} == set(want.values())
 

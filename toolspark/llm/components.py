@@ -6,19 +6,54 @@ cuts the lineage. A hub with very many links never meets in one task: only least
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from toolspark.llm.common import shared_dir
 
 
+def contracted(edges: DataFrame, most: int = 1 << 20) -> DataFrame:
+    """edges(a, b) -> (u, v) with v the least node that the edges of one batch connect to u: each task shortens its own paths."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top: dict[int, int] = {}
+
+        def head(x: int) -> int:
+            path = []
+            while (up := top.setdefault(x, x)) != x:
+                path.append(x)
+                x = up
+            for y in path:
+                top[y] = x
+            return x
+
+        def stars() -> pa.RecordBatch:
+            pairs = [(x, head(x)) for x in top]
+            return pa.RecordBatch.from_arrays([pa.array([x for x, r in pairs if x != r], pa.int64()), pa.array([r for x, r in pairs if x != r], pa.int64())], ["u", "v"])
+
+        for b in batches:
+            for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+                x, y = head(x), head(y)
+                if x != y:
+                    top[max(x, y)] = min(x, y)
+            if len(top) > most:
+                yield stars()
+                top.clear()
+        yield stars()
+
+    return edges.select("a", "b").where("a <> b").mapInArrow(run, "u long, v long")
+
+
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """edges(a long, b long) -> (node, root), root the least node of the component; nodes without an edge are left out.
 
     Loops, repeated and reversed edges do no harm. Least-neighbour hooking with pointer jumping: the number of rounds grows with
     the logarithm of the largest diameter. Raises if ``max_rounds`` do not suffice."""
     shared_dir(edges.sparkSession)
-    e = edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint()
+    e = contracted(edges).distinct().checkpoint()
     if e.isEmpty():
         return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
