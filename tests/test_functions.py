@@ -60,7 +60,9 @@ def test_long_texts_take_bounded_time():
     assert calls('<invoke name="w"><parameter name="content">' + "a<" * 25_000 + "</parameter></invoke>")[0][0] == "w"
     calls("<tool_call>" + "<a>" * 20_000)
     calls('{"name":"bash","command":"' + "a" * 50_000)
-    assert time.time() - began < 5
+    calls("<tool " * 20_000), calls("<invoke name=x>" * 3_000), calls("```json\n" * 5_000), calls("Action: f\nAction Input: 1\n" * 3_000), calls("<｜tool sep｜>" * 5_000)
+    lenient.loads('{"a": "' + 'x" ' * 100_000 + '"}')
+    assert time.time() - began < 10
 
 
 def test_thinking():
@@ -146,6 +148,21 @@ def test_raw():
     assert c.name == "Grep" and raw.parse_args(c) == {"x": 1}
     with pytest.raises(ValueError, match="not JSON"):
         raw.parse_args(raw.RawCall("a", "{]", ""))
+    (c,) = raw.extract("<tool_call><function=f>{}</function></tool_call>")
+    assert c.name == "f"
+    body = '<name>go</name><arguments>{"x": 1}</arguments>'
+    (c,) = raw.extract(f"<tool_use>{body}</tool_use>")
+    assert (c.name, c.raw_args) == ("go", body)
+    assert raw.to_call(raw.RawCall("f", "[1, 2]", "")).args == {"input": [1, 2]}
+    assert raw.first("nothing") is None and raw.first('{"name": "f", "x": 2}').raw_args == '{"name": "f", "x": 2}'
+
+
+def test_event_names():
+    p = events.StreamParser()
+    out = p.feed('a<tool_call>{"name": "f", "arguments": {"x": 1}}</tool_call> b <tool_call>{"name": "g"}</tool_call>') + p.finish()
+    assert [(e.call_id, e.tool_name) for e in out if e.is_tool_call and e.kind != "tool_call_argument_chunk"] == [("call_1", "f"), ("call_1", "f"), ("call_2", "g"), ("call_2", "g")]
+    assert "".join(e.delta for e in out if e.delta and e.call_id == "call_1") == '{"name": "f", "arguments": {"x": 1}}'
+    assert [e.content for e in out if e.kind == "text"] == ["a", " b "] and all(e.thinking is None for e in out)
 
 
 def test_streams_agree_with_texts_however_cut():

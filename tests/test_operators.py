@@ -2,17 +2,22 @@
 
 import glob
 import os
+import random
 import time
 
 import duckdb
 import pandas as pd
 import pytest
 
+from pyspark.sql import functions as F
+
 import __spark_entry__ as entry
-from toolspark.functions import clean, lenient
-from toolspark.operators import canonical, parse
+from toolspark.config import ParserConfig
+from toolspark.functions import clean, dialects, lenient
+from toolspark.operators import canonical, parse, payloads
 from toolspark.plans import queries as library
 from toolspark.plans import render
+from toolspark.sources import texts
 from toolspark.streaming import events as streams
 
 DATA = "/root/testdata/sf0.001"
@@ -126,3 +131,66 @@ def test_batches_of_chunks_agree_with_the_parser_and_are_read_in_order(spark):
         mine = sorted((r for r in got if r.stream_id == key), key=lambda r: r.event_index)
         assert [(r.event_index, r.event_type, r.text, r.name) for r in mine] == [(i, e.kind, e.text or None, e.name) for i, e in enumerate(events)]
     assert streams.parsed_batch(spark.createDataFrame([], CHUNK)).collect() == []
+
+
+def test_columns_of_the_same_names_are_refused_or_set_apart(spark):
+    df = spark.createDataFrame([("mine", 7, '{"tool": "f", "a": 1}'), ("f", 8, '{"tool": "g"}'), ("x", 9, None)], "name string, call_index int, text string")
+    allowed = spark.createDataFrame([("f",)], "name string")
+    for made in (lambda: parse.parse_tool_calls(df), lambda: parse.raw_calls(df), lambda: parse.first_call(df), lambda: parse.rejected_calls(df, allowed)):
+        with pytest.raises(ValueError, match="prefix"):
+            made()
+    got = parse.parse_tool_calls(df, prefix="c_").orderBy("call_index").collect()
+    assert [(r["name"], r.call_index, r.c_call_index, r.c_name, r.c_args_json) for r in got] == [("mine", 7, 0, "f", '{"a":1}'), ("f", 8, 0, "g", "{}")]
+    assert [(r["name"], r.c_name) for r in parse.rejected_calls(df, allowed, prefix="c_").collect()] == [("f", "g")]
+    assert [(r["name"], r.c_name) for r in parse.permitted_calls(df, allowed, prefix="c_").collect()] == [("mine", "f")]
+    assert [r.c_name for r in parse.first_call(df, prefix="c_").orderBy("call_index").collect()] == ["f", "g", None]
+    assert [r.c_name for r in parse.raw_calls(df, prefix="c_", first=True).orderBy("call_index").collect()] == ["f", "g"]
+
+
+ODD = ["w < x and <b>bold</b> (a: b)", "std::vector<int> v; f(x)", "see foo (bar), e.g. \"quoted\": yes", '"name" : "x"', ': "bash", "command": "ls"}', "tool: 'x', 'a': 1", "call: f(x=1)", "- run(1)", "> go(a=2)", "`f(1)`", "Вызов: f(1)", "```json\n[{\"name\": \"f\"}]\n```", "[{'name': 'f'}]", "na<think>x</think>me(a=1)", "ACTION: f\nAction Input: 2", "✿FUNCTION✿: f ✿ARGS✿: {}", "<ИНСТРУМЕНТ name=f>", "<tool_name>f</tool_name>"]
+
+
+def test_guard_lets_every_call_through(spark):
+    rng = random.Random(4)
+    base = [t.replace("NAME", "look").replace("USER", "7").replace("PROPS", '{"k": "v"}') for t in render.TEMPLATES.values()] + ODD
+    marks = ["<", ">", '"', "{", "}", "(", ")", "\n", " ", ":", "</", "```", "Action: q\nAction Input: 3", "<think>", "｜", "f(", "Ж"]
+    made = list(base)
+    for _ in range(3000):
+        t = rng.choice(base)
+        for _ in range(rng.randint(1, 4)):
+            i = rng.randrange(len(t) + 1)
+            t = t[:i] + rng.choice(marks) + t[i:] if rng.random() < 0.5 else t[:i] + t[i + rng.randint(1, 5) :]
+        made.append(t)
+    df = spark.createDataFrame(list(enumerate(made)), "i int, text string")
+    passed = {r.i for r in df.where(parse.may_hold_calls(df.text, ParserConfig())).select("i").collect()}
+    assert not [t for i, t in enumerate(made) if i not in passed and dialects.parse(t)]
+    prose = ["He said: it is (as we know) fine [1].", "a < b > c", "Note: x", "x = f(y)", "p{"]
+    assert spark.createDataFrame([(t,) for t in prose], "text string").where(parse.may_hold_calls(F.col("text"), ParserConfig())).count() == 1
+
+
+def test_strict_names_what_it_could_not_read(spark):
+    df = spark.createDataFrame([("a" * 250,)], "text string")
+    with pytest.raises(Exception, match="response: a{200}\\.\\.\\."):
+        parse.parse_tool_calls(df, strict=True).collect()
+    assert parse.parse_tool_calls(spark.createDataFrame([('{"tool": "f"}',)], "text string"), strict=True).count() == 1
+
+
+def test_calls_of_texts_that_cannot_be_read(spark):
+    df = spark.createDataFrame([(0, '{"tool": "f", "a": 1}'), (1, "[" * 5000 + "{"), (2, None), (3, "prose")], "i int, text string")
+    got = {r.i: r.c for r in df.select("i", payloads.text_calls(df.text).alias("c")).collect()}
+    assert len(got[0]) == 1 and got[1] == got[2] == got[3] == []
+
+
+def test_sse_lines(spark):
+    df = spark.createDataFrame([('data: {"a": 1}',), ("data: [DONE]",), (": note",), ("data: {bad",)], "value string")
+    assert [(r.data, r.done) for r in texts.sse_events(df).collect()] == [('{"a": 1}', False), (None, True), (None, False), (None, False)]
+    e = spark.createDataFrame([("ping", "{}")], "event string, data string")
+    assert e.select(texts.sse_text("anthropic").alias("t")).first().t == "event: ping\ndata: {}\n\n" and e.select(texts.sse_text("openai").alias("t")).first().t == "data: {}\n\n"
+
+
+def test_chunk_files_as_a_stream(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('{"stream_id": "s", "seq": 1, "chunk": "b", "is_last": true}\n{"stream_id": "s", "seq": 0, "chunk": "a", "is_last": false}\n')
+    q = texts.chunk_stream(spark, str(tmp_path / "in")).writeStream.format("memory").queryName("chunks_seen").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(60)
+    assert sorted((r.seq, r.chunk) for r in spark.table("chunks_seen").collect()) == [(0, "a"), (1, "b")]

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cached_property
 
 #: fixed values: tool names and what the call parser makes of them
 TOOL_ALIASES = {
@@ -66,9 +67,17 @@ class ParserConfig:
     keep_input: bool = False
 
     def names(self) -> dict[str, str]:
-        return TOOL_ALIASES | {k.lower(): v.lower() for k, v in self.tool_aliases.items()}
+        return self._names
 
     def params(self) -> dict[str, str]:
+        return self._params
+
+    @cached_property
+    def _names(self) -> dict[str, str]:
+        return TOOL_ALIASES | {k.lower(): v.lower() for k, v in self.tool_aliases.items()}
+
+    @cached_property
+    def _params(self) -> dict[str, str]:
         return PARAM_ALIASES | {k.lower(): v for k, v in self.param_aliases.items()}
 
     def allows(self, name: str) -> bool:

@@ -38,5 +38,9 @@ def param_value(value: str, code: bool = False) -> str:
     return re.sub(r"\A(?:\r?\n)|(?:\r?\n)\Z", "", value) if code else value.strip()
 
 
-def preview(text: str, size: int = 200) -> str:
+#: fixed value: characters of a text that an error message shows
+PREVIEW = 200
+
+
+def preview(text: str, size: int = PREVIEW) -> str:
     return text[:size] + ("..." if len(text) > size else "")

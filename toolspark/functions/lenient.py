@@ -10,12 +10,16 @@ import json
 import re
 from typing import Any
 
-_MISSING = object()
+MISSING = object()
 _number = re.compile(r"-?\d+(?:\.\d+)?(?:[eE][+-]?\d+)?")
 _word = re.compile(r"[A-Za-z_]\w*")
 _literals = {"true": True, "false": False, "null": None, "True": True, "False": False, "None": None, "NaN": float("nan"), "Infinity": float("inf")}
 _escapes = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f", "/": "/", "\\": "\\", '"': '"', "'": "'"}
 _next_key = re.compile(r"""\s*,\s*(?:\}|$|"(?:[^"\\]|\\.)*"\s*:|'(?:[^'\\]|\\.)*'\s*:)""", re.S)
+_space = re.compile(r"\s*")
+_hex = re.compile(r"[0-9a-fA-F]{4}")
+#: What a string in either quotes cannot run over.
+_stops = {"'": re.compile(r"[\\']"), '"': re.compile(r'[\\"]')}
 _prefix_key = re.compile(r'\s*(?:(tool|name|action)":|"(?:tool|name|action)":)')
 _prefix_colon = re.compile(r'\s*(?:\{\s*)?"\s*:\s*|\s*:\s*')
 
@@ -29,9 +33,8 @@ class _Reader:
         self.s, self.i = text, 0
 
     def skip(self) -> str:
-        while self.i < len(self.s) and self.s[self.i].isspace():
-            self.i += 1
-        return self.s[self.i] if self.i < len(self.s) else ""
+        self.i = _space.match(self.s, self.i).end()
+        return self.s[self.i : self.i + 1]
 
     def value(self) -> Any:
         c = self.skip()
@@ -99,35 +102,39 @@ class _Reader:
     inside = "object"
 
     def closes(self, at: int, role: str) -> bool:
-        rest = self.s[at + 1 :].lstrip()
-        if not rest:
+        after = _space.match(self.s, at + 1).end()
+        c = self.s[after : after + 1]
+        if not c:
             return True
         if role == "key":
-            return rest[0] == ":"
-        if rest[0] in "}]":
-            return True
-        return rest[0] == "," and (self.inside == "array" or bool(_next_key.match(self.s, at + 1)))
+            return c == ":"
+        return c in "}]" or (c == "," and (self.inside == "array" or bool(_next_key.match(self.s, after))))
 
     def string(self, quote: str, role: str) -> str:
-        out, i, s = [], self.i + 1, self.s
-        while i < len(s):
-            c = s[i]
-            if c == "\\":
-                n = s[i + 1 : i + 2]
-                if n == "u" and re.fullmatch(r"[0-9a-fA-F]{4}", s[i + 2 : i + 6]):
-                    out.append(chr(int(s[i + 2 : i + 6], 16)))
-                    i += 6
-                    continue
-                out.append(_escapes.get(n, n and "\\" + n))
-                i += 2
-                continue
-            if c == quote and self.closes(i, role):
+        out, i, s, stop = [], self.i + 1, self.s, _stops[quote]
+        while m := stop.search(s, i):
+            at = m.start()
+            out.append(s[i:at])
+            if s[at] != quote:
+                n = s[at + 1 : at + 2]
+                if n == "u" and _hex.fullmatch(s, at + 2, at + 6):
+                    out.append(chr(int(s[at + 2 : at + 6], 16)))
+                    i = at + 6
+                else:
+                    out.append(_escapes.get(n, n and "\\" + n))
+                    i = at + 2
+            elif self.closes(at, role):
+                i = at
                 break
-            out.append(c)
-            i += 1
+            else:
+                out.append(quote)
+                i = at + 1
+        else:
+            out.append(s[i:])
+            i = len(s)
         self.i = i + 1
         text = "".join(out)
-        return text.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if any("\ud800" <= c <= "\udfff" for c in text) else text
+        return text if text.isascii() or not any("\ud800" <= c <= "\udfff" for c in text) else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
 
 
 def mend_prefix(s: str) -> str:
@@ -141,14 +148,25 @@ def mend_prefix(s: str) -> str:
     return s
 
 
+def quick(s: str) -> Any:
+    """The value of a text that is JSON, or would be if its single quotes were double ones and it has no others; else MISSING."""
+    try:
+        return json.loads(s, strict=False)
+    except (ValueError, RecursionError):
+        if "'" not in s or '"' in s or "\\" in s:
+            return MISSING
+    try:
+        return json.loads(s.replace("'", '"'), strict=False)
+    except (ValueError, RecursionError):
+        return MISSING
+
+
 def loads(s: Any, default: Any = None) -> Any:
     """The value a text stands for, mended where strict reading fails; default if it stands for none."""
     if not isinstance(s, str) or not s:
         return default
-    try:
-        return json.loads(s, strict=False)
-    except (ValueError, RecursionError):
-        pass
+    if (out := quick(s)) is not MISSING:
+        return out
     for text in dict.fromkeys((mend_prefix(s), s)):
         r = _Reader(text)
         try:
@@ -166,8 +184,8 @@ def repaired(s: str) -> str:
         json.loads(s)
         return s
     except (ValueError, RecursionError):
-        out = loads(s, _MISSING)
-        return s if out is _MISSING else json.dumps(out, ensure_ascii=False)
+        out = loads(s, MISSING)
+        return s if out is MISSING else json.dumps(out, ensure_ascii=False)
 
 
 _scan = re.compile(r"""\\.|["'{}\[\]]""", re.S)
@@ -179,6 +197,9 @@ def objects(text: str) -> list[str]:
     text = mend_prefix(text)
     if "{" not in text:
         return []
+    whole = text.strip()
+    if whole[0] == "{" and whole[-1] == "}" and quick(whole) is not MISSING:
+        return [whole]
     found: list[str] = []
     open_: list[str] = []
     quote, start, at = "", -1, 0

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from toolspark import sql
+from toolspark.functions import protocols
 from toolspark.operators import canonical, parse, payloads, relational, semantics
 from toolspark.plans import render
 from toolspark.sources.texts import spread
@@ -384,7 +386,10 @@ def sql_table_function(spark, d):
 
 def _chunks(spark: SparkSession, d: str, size: int = 11) -> DataFrame:
     text = render.mixed(F.col("event_id"), F.col("event_type"), F.col("user_id"), F.col("props"), render.STREAMED)
-    t = _events(spark, d).select("event_id", text.alias("text"))
+    return _pieces(_events(spark, d).select("event_id", text.alias("text")), size)
+
+
+def _pieces(t: DataFrame, size: int) -> DataFrame:
     n = F.ceil(F.length("text") / size).cast("int")
     c = t.select(F.col("event_id").cast("string").alias("stream_id"), "text", n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
     return c.select("stream_id", F.col("i").cast("long").alias("seq"), F.substr("text", F.col("i") * size + 1, F.lit(size)).alias("chunk"), (F.col("i") == F.col("n") - 1).alias("is_last"))
@@ -406,6 +411,60 @@ def stream_translation_batch(spark, d):
     return out.groupBy(F.col("stream_id").cast("long").alias("conv_id")).agg(F.count("*").alias("chunks"), F.sum(F.length("t")).cast("long").alias("chars"))
 
 
-@query()
+_PAIRS = f"select event_id, 0 call_index, {_NAME} as name, cast(user_id as varchar) user_text, json_extract_string(props, '$.k') k from events"
+
+
+def _written_as(text: Callable) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        k = F.get_json_object("props", "$.k")
+        e = _events(spark, d).select("event_id", text(F.col("event_type"), F.col("user_id").cast("string"), k).alias("text"))
+        return parse.parse_tool_calls(e).select("event_id", "call_index", "name", F.get_json_object("args_json", "$.user").alias("user_text"), F.get_json_object("args_json", "$.k").alias("k"))
+
+    return run
+
+
+query(_PAIRS, "arguments_in_child_tags")(_written_as(lambda n, u, k: F.concat(F.lit("<tool_call><name>"), n, F.lit("</name><arguments><user>"), u, F.lit("</user><k>"), k, F.lit("</k></arguments></tool_call>"))))
+query(_PAIRS, "parameters_without_a_call")(_written_as(lambda n, u, k: F.concat(*[F.concat(F.lit(f'<｜DSML｜parameter name="{key}">'), v, F.lit("</｜DSML｜parameter>")) for key, v in (("tool", n), ("user", u), ("k", k))], F.lit("</｜DSML｜function_calls>"))))
+
+
+@query("""select cast(event_id as varchar) stream_id, '{"user": ' || user_id || ', "props": ' || props || '}' arguments from events""")
+def stream_argument_deltas(spark, d):
+    e = _events(spark, d)
+    c = _pieces(e.select("event_id", render.rendered("deepseek", F.col("event_type"), F.col("user_id"), F.col("props")).alias("text")), 11)
+    out = streams.parsed_batch(c).where("event_type = 'tool_call_argument_chunk'")
+    parts = F.sort_array(F.collect_list(F.struct("event_index", "text")))
+    return out.groupBy("stream_id").agg(F.array_join(F.transform(parts, lambda p: p["text"]), "").alias("arguments"))
+
+
+@query("select conv_id, count(*) chunks, sum(length(text))::bigint chars from conversations where role = 'assistant' group by 1")
+def stream_from_anthropic_batch(spark, d):
+    t = table(spark, d, "conversations").where("role = 'assistant'")
+    delta = F.named_struct(F.lit("type"), F.lit("text_delta"), F.lit("text"), F.col("text"))
+    c = F.concat(F.lit("data: "), F.to_json(F.named_struct(F.lit("type"), F.lit("content_block_delta"), F.lit("index"), F.lit(0), F.lit("delta"), delta)))
+    w = Window.partitionBy("conv_id").orderBy("turn")
+    lines = t.select(F.col("conv_id").cast("string").alias("stream_id"), (F.row_number().over(w) - 1).cast("long").alias("seq"), c.alias("chunk"))
+    out = streams.translated_batch(lines, "anthropic", "openai").select("stream_id", F.get_json_object(F.substr("line", F.lit(7), F.length("line")), "$.choices[0].delta.content").alias("t"))
+    return out.groupBy(F.col("stream_id").cast("long").alias("conv_id")).agg(F.count("*").alias("chunks"), F.sum(F.length("t")).cast("long").alias("chars"))
+
+
+@query("select conv_id, turn, text, 'true' failed from conversations where role = 'user'")
+def mcp_results_of_texts(spark, d):
+    t = table(spark, d, "conversations").where("role = 'user'")
+    made = payloads.mcp_results(F.to_json(F.array(F.struct(F.lit("text").alias("type"), "text"))), True)
+    return t.select("conv_id", "turn", made.alias("m")).select("conv_id", "turn", F.get_json_object("m.payload", "$.content[0].text").alias("text"), F.get_json_object("m.payload", "$.isError").alias("failed"))
+
+
+@query("select conv_id, turn, length(text) chars from conversations where role = 'user'")
+def own_protocol(spark, d):
+    """A protocol that only the driver knows: requests are written as the number of characters said."""
+    base = protocols.registry.get("openai")
+    own = dataclasses.replace(base, name="counting", write_request=lambda r: {"chars": sum(len(b["text"]) for t in r["turns"] for b in t["blocks"])})
+    t = table(spark, d, "conversations").where("role = 'user'")
+    payload = F.to_json(F.struct(F.lit("m").alias("model"), F.array(F.struct("role", F.col("text").alias("content"))).alias("messages")))
+    out = t.select("conv_id", "turn", payloads.translated_request(payload, "openai", own).alias("r"))
+    return out.select("conv_id", "turn", F.get_json_object("r.payload", "$.chars").cast("long").alias("chars"))
+
+
+@query("select '4.1.2' spark, true parses")
 def engine_info(spark, d):
-    return sql.engine_info(spark)
+    return sql.engine_info(spark).select("spark", (F.size(parse.calls(F.lit('{"tool": "f"}'))) == 1).alias("parses"))
