@@ -61,27 +61,26 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, tr
         cuts.append((v[1:] + v[:-1]) / 2)
     code = np.stack([np.searchsorted(c, x[:, j], "left") for j, c in enumerate(cuts)], 1)
     width = max(len(c) for c in cuts) + 1
+    # all features' histograms of a node in one count: feature j has the numbers from j * width on
+    code += (np.arange(m) * width)[None, :]
+    possible = np.arange(width - 1)[None, :] < np.array([len(c) for c in cuts])[:, None]
+    sign = np.array([monotone.get(j, 0) for j in range(m)])[:, None]
     score = np.full(n, bias)
 
     def grow(rows: np.ndarray, g: np.ndarray, h: np.ndarray, level: int, low: float, high: float) -> int:
         gs, hs = g[rows].sum(), h[rows].sum()
-        best, at = 1e-6, None
-        if level < depth and hs > 2 * least:
-            for j in range(m):
-                if not len(cuts[j]):
-                    continue
-                c = code[rows, j]
-                gl, hl = np.cumsum(np.bincount(c, g[rows], width))[:-1], np.cumsum(np.bincount(c, h[rows], width))[:-1]
-                gr, hr = gs - gl, hs - hl
-                gain = gl**2 / (hl + ridge) + gr**2 / (hr + ridge) - gs**2 / (hs + ridge)
-                ok = (hl >= least) & (hr >= least)
-                if j in monotone:
-                    vl, vr = np.clip(-gl / (hl + ridge), low, high), np.clip(-gr / (hr + ridge), low, high)
-                    ok &= monotone[j] * (vr - vl) >= 0
-                gain = np.where(ok, gain, 0)[: len(cuts[j])]
-                k = int(gain.argmax())
-                if gain[k] > best:
-                    best, at = float(gain[k]), (j, k, -gl[k] / (hl[k] + ridge), -gr[k] / (hr[k] + ridge))
+        at = None
+        if level < depth and hs > 2 * least and width > 1:
+            c = code[rows].ravel()
+            gl, hl = (np.cumsum(np.bincount(c, np.repeat(v[rows], m), m * width).reshape(m, width), 1)[:, :-1] for v in (g, h))
+            gr, hr = gs - gl, hs - hl
+            gain = gl**2 / (hl + ridge) + gr**2 / (hr + ridge) - gs**2 / (hs + ridge)
+            vl, vr = -gl / (hl + ridge), -gr / (hr + ridge)
+            ok = possible & (hl >= least) & (hr >= least) & (sign * (np.clip(vr, low, high) - np.clip(vl, low, high)) >= 0)
+            gain = np.where(ok, gain, 0)
+            j, k = divmod(int(gain.argmax()), width - 1)
+            if gain[j, k] > 1e-6:
+                at = (j, k, vl[j, k], vr[j, k])
         me = len(nodes)
         value = float(np.clip(-gs / (hs + ridge), low, high))
         nodes.append([-1, 0.0, me, me, rate * value])
@@ -89,7 +88,7 @@ def fit(x: np.ndarray, y: np.ndarray, monotone: dict[int, int] | None = None, tr
             score[rows] += rate * value
             return me
         j, k, vl, vr = at
-        right = code[rows, j] > k
+        right = code[rows, j] - j * width > k
         bounds = [(low, high), (low, high)]
         if j in monotone:
             mid = float((np.clip(vl, low, high) + np.clip(vr, low, high)) / 2)
