@@ -1,9 +1,12 @@
 """The operators of the llm subpackage against brute force on small tables, with nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import base64
 import collections
 import hashlib
+import html
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -12,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from toolspark.llm import components, fingerprints, gbt, html_pages, html_text, mixing, near, packing, private, quality, repeats, simhash, substring_dedup, suffix_dedup, toxicity
+from toolspark.llm import common, components, fingerprints, gbt, html_pages, html_text, mixing, near, packing, private, quality, repeats, simhash, substring_dedup, suffix_dedup, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, gram string, id string"
@@ -293,7 +296,7 @@ def test_private(spark):
 
 
 def test_private_names_are_one_whatever_the_title_and_keys_matter(spark):
-    rows = [(1, "Mrs Anna Smith and Dr Anna Smith, Mr. Karl Weiss"), (2, "Prof Karl Weiss; Dr Robin Fox"), (3, "Dr. ANNA SMITH " + "x " * 30_000), (3, "Dr. ANNA SMITH " + "x " * 30_000)]
+    rows = [(1, "Mrs Anna Smith and Dr Anna Smith, Mr. Karl Weiss"), (2, "Prof Karl Weiss; Dr Robin Fox"), (3, "Dr. ANNA SMITH " + "x " * 3_000), (3, "Dr. ANNA SMITH " + "x " * 3_000)]
     odd = make(spark, rows).withColumns({"rid2": F.lit(1), "later": F.lit(2), "u": F.lit(3), "kind": F.lit(4), "value": F.lit(5)})
     got = private.replaced(odd, "k1").collect()
     by = {x.found: x.surrogate for r in got for x in r.private_}
@@ -387,6 +390,139 @@ def test_entropies():
         assert e == pytest.approx(-sum(x * np.log2(x) for x in p if x), abs=1e-4)
 
 
+def plain_digest(text):
+    """Operator 10's digest, window by window."""
+    data, w = bytes(31) + text.encode() + bytes(31), 32
+    if not text:
+        return "0"
+    windows = [data[i : i + w] for i in range(len(data) - w + 1)]
+
+    def rank(x):
+        counts = collections.Counter(x).values()
+        e = np.log2(w) - sum(round((n * np.log2(n) - (n - 1) * (np.log2(n - 1) if n > 1 else 0)) * (1 << 20)) for m in counts for n in range(1, m + 1)) / (w * (1 << 20))
+        return 1 << 15 if e < 2.4 else (1 << 15) - 1 - min(round(abs(e - 3.75) * 4096), (1 << 15) - 1)
+
+    ranks = [rank(x) for x in windows]
+    picks = collections.Counter(min(range(i, i + 32), key=lambda j: (ranks[j], j)) for i in range(len(windows) - 31))
+    chosen = sorted(i for i, n in picks.items() if n >= 10 or len(picks) == 1)
+
+    def value(x):
+        h, codes = 0, [int(c) for c in common.BYTE_CODE]
+        for i, c in enumerate(x):
+            h += codes[c] * pow(0x9E3779B97F4A7C15, i, 1 << 64)
+        return int(common.mix(np.array([h % (1 << 64)], np.uint64))[0])
+
+    found = [value(windows[i]) for i in chosen]
+    if not found:
+        return None
+    filters = []
+    for i in range(0, len(found), 160):
+        bits = [0] * 2048
+        for h in found[i : i + 160]:
+            for k in range(5):
+                bits[h >> (11 * k) & 2047] = 1
+        filters.append(bytes(int("".join(map(str, bits[j : j + 8])), 2) for j in range(0, 2048, 8)))
+    return f"{len(found)}:{base64.b64encode(b''.join(filters)).decode()}"
+
+
+def test_fingerprint_query_window_by_window(spark):
+    rows = fingerprints.op10_fingerprints(spark, DATA).collect()
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    short = sorted((r for r in rows if r.n_chars < 3000), key=lambda r: r.doc_id)[:60]
+    plain = [(r, plain_digest(docs[r.doc_id])) for r in short]
+    assert len(plain) > 40 and all(r.fingerprint == p for r, p in plain if p is not None) and sum(p is not None for _, p in plain) > 40
+
+
+def test_frequent_ids_are_spread_over_ranges(spark):
+    rows = [(None, f"no id {i} " * 40) for i in range(60)] + [(5, f"five {i} " * 40) for i in range(60)] + [(i, f"row {i} " * 40) for i in range(100, 140)] + [(2**60 + 1, "far"), (2**60, "near")]
+    r = fingerprints.Ranges([5, 5, 5, 120], 3)
+    ids, rid = np.array([1, 5, 5, 6, 119, 120, 2**60], np.int64), np.array([0, -(2**62), 2**63 - 1, 0, 0, 0, 0], np.int64)
+    assert r.of(ids, np.zeros(7, bool), rid).tolist() == [3, 4, 6, 7, 7, 8, 8] and r.of(ids[:1], np.ones(1, bool), rid[:1]).tolist() == [1]
+    got = fingerprints.fingerprints(make(spark, rows), range_bytes=2000).collect()
+    whole = fingerprints.fingerprints(make(spark, rows)).collect()
+    assert key(map(tuple, got)) == key(map(tuple, whole)) and len(got) == len(rows)
+
+
+def test_html_query_against_the_article_elements(spark):
+    def plain(page):
+        inner = re.search(r"<article>(.*?)</article>", page, re.S)[1]
+        parts = [" ".join(html.unescape(re.sub(r"<[^>]*>", "", re.sub(r"<br[^>]*>", " ", x))).split()) for x in re.split(r"</?(?:p|h1)\b[^>]*>", inner)]
+        return "\n\n".join(x for x in parts if x)
+
+    pages = {r.page_id: r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()}
+    got = html_text.op9_html_extraction(spark, "/root/testdata/sf0.01").collect()
+    assert {r.page_id: r.text for r in got} == {i: plain(p) for i, p in pages.items()} and all(r.n_chars == len(r.text) for r in got)
+
+
+def test_html_odd_pages_in_linear_time(spark):
+    began = time.time()
+    for page in ("<a " * 350_000, "<option>" * 60_000, "<a '>'" * 100_000, "<div>" * 50_000 + "x", "<p><div>" * 30_000, "<svg>" * 60_000, "<!--" * 200_000):
+        html_text.parse(page)
+    assert time.time() - began < 20
+    deep = "<article><p>An article of some words that go on for a while, and on.</p></article><div class=sidebar>" + "<div>" * 450 + "in the side" + "</div>" * 450 + "side still</div>"
+    odd = ["<svg>" + deep, "<noscript>" + deep, deep + "<a href='x", deep + "<p", deep.replace("of some", "of <math><mi>x</mi></math> some")]
+    df = spark.createDataFrame([(i, t, "n") for i, t in enumerate([deep, *odd])], "page_id long, html string, rid string")
+    got = [r.text_ for r in html_text.extracted(df).orderBy("page_id").collect()]
+    assert got[:5] == ["An article of some words that go on for a while, and on."] * 5 and "of x some" in got[5]
+    with pytest.raises(ValueError):
+        html_text.extracted(df.withColumn("text_", F.lit(1)))
+    assert html_text.extracted(df.where("page_id < 0")).count() == 0
+
+
+def test_private_query_against_a_plain_reading(spark):
+    docs = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in private.op2_private(spark, DATA).collect()}
+    full = {r.doc_id: r.private_ for r in private.replaced(spark.read.parquet(f"{DATA}/documents.parquet")).collect()}
+    simple = re.compile(r"[\w.+-]+@[\w-]+(?:\.[\w-]+)*\.[a-z]{2,}|(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\d.])|\b[0-9a-f]{40}\b")
+    made = {}
+    assert got.keys() == docs.keys() and sum(len(v) for v in full.values()) > 20
+    for i, text in docs.items():
+        out, at = [], 0
+        for e in full[i]:
+            a = text.index(e.found, at)
+            out += [text[at:a], e.surrogate]
+            at = a + len(e.found)
+            made.setdefault((e.kind, e.found), set()).add(e.surrogate)
+        assert got[i].text == "".join([*out, text[at:]]) and got[i].n_entities == len(full[i]) and list(got[i].surrogates) == [e.surrogate for e in full[i]]
+        numbers = [m for m in simple.findall(text) if m.replace(".", "").isdigit()]
+        assert not [m for m in numbers if all(int(o) <= 255 for o in m.split(".")) and m in got[i].text]
+        assert not [m for m in simple.findall(text) if m not in numbers and m in got[i].text]
+    assert all(len(v) == 1 for v in made.values())
+
+
+def test_quality_lines_that_sums_of_powers_confuse(spark):
+    a = "a"
+    for _ in range(11):
+        a += a.translate(str.maketrans("ab", "ba"))
+    b = a.translate(str.maketrans("ab", "ba"))
+    got = quality.assess(make(spark, [(1, f"{a}\n{b}"), (2, f"{a}\n{a}"), (3, None)]), None).select("doc_id", "quality_.n_dup_lines").collect()
+    assert {r.doc_id: r.n_dup_lines for r in got} == {1: 0, 2: 1, 3: 0}
+    with pytest.raises(ValueError):
+        quality.assess(make(spark, [(1, "x")]).withColumn("quality_", F.lit(1)), None)
+
+
+def test_mixing_of_small_sources_and_clashing_columns(spark):
+    rows = [(i, "w " * 20, "big") for i in range(500)] + [(900, "a b c d e", "tiny"), (901, "x y", None), (902, "", "none"), (903, None, "none")]
+    docs = make(spark, rows).withColumns({"row": F.lit("r"), "turn": F.lit(2), "src": F.lit(3), "block": F.lit(4)})
+    got = mixing.mixed(docs).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert all(abs(r.taken - r.target) <= 1 for r in got if r.source != "big") and {r.source: r.taken for r in got}["none"] == 0
+    texts_ = mixing.mixed_texts(docs)
+    assert texts_.columns == [*docs.columns, "mixed_"] and {(r.row, r.turn, r.src, r.block) for r in texts_.collect()} == {("r", 2, 3, 4)}
+    with pytest.raises(ValueError):
+        mixing.mixed_texts(docs.withColumn("mixed_", F.lit(1)))
+
+
+def test_pipeline_over_an_empty_table_and_null_texts(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    assert corpus_pipeline.quality_rules(spark, docs.limit(3).withColumn("text", F.lit(None).cast("string")), DATA).count() == 0
+    now = docs.where("doc_id < 0")
+    for _, stage in corpus_pipeline.STAGES:
+        out = stage(spark, now, DATA)
+        assert not out.collect()
+        now = spark.createDataFrame([], out.schema)
+
+
 def test_empty_tables(spark):
     docs = make(spark, [(1, "x")]).where("doc_id < 0")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
