@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from toolspark.llm import common, components, fingerprints, gbt, html_pages, html_text, mixing, near, packing, private, quality, repeats, simhash, substring_dedup, suffix_dedup, toxicity
+from toolspark.llm import common, components, fingerprints, gbt, html_pages, html_text, mixing, near, packing, private, quality, queries, repeats, simhash, substring_dedup, suffix_dedup, toxicity
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, rid string, gram string, id string"
@@ -491,6 +491,19 @@ def test_private_query_against_a_plain_reading(spark):
     assert all(len(v) == 1 for v in made.values())
 
 
+@pytest.mark.parametrize("name", sorted(set(queries.ORACLES)))
+def test_query_equals_its_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for t in ("documents", "pages", "labels"):
+        db.execute(f"create view {t} as select * from read_parquet('{DATA}/{t}.parquet')")
+    want, got = db.execute(queries.ORACLES[name]).fetchdf(), queries.QUERIES[name](spark, DATA).toPandas()
+    assert sorted(want.columns) == sorted(got.columns)
+    cols = sorted(want.columns)
+    assert key(map(tuple, want[cols].astype(str).values)) == key(map(tuple, got[cols].astype(str).values))
+
+
 def test_quality_lines_that_sums_of_powers_confuse(spark):
     a = "a"
     for _ in range(11):

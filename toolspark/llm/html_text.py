@@ -23,7 +23,7 @@ from toolspark.llm.html_pages import pages
 TRAIN_PAGES = 700
 SEED = 9
 #: fixed values: elements by their part in the tree
-INLINE = frozenset("a b i em strong span small big code sub sup u s del ins mark font abbr acronym cite q time label bdi bdo dfn kbd samp var tt data ruby rt rp wbr br img picture x-main".split())
+INLINE = frozenset("a b i em strong span small big code sub sup u s del ins mark font abbr acronym cite q time label bdi bdo dfn kbd samp var tt data ruby rt rp wbr br img picture x-main math mi mn mo mrow mtext msup msub msubsup mfrac msqrt mroot mover munder mspace".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg iframe object textarea select option button title head canvas audio video map".split())
 #: fixed values: elements whose content is no markup, so that one left open goes to the end of the page
