@@ -526,6 +526,14 @@ def test_mixing_of_small_sources_and_clashing_columns(spark):
         mixing.mixed_texts(docs.withColumn("mixed_", F.lit(1)))
 
 
+def test_mixing_sends_no_table_of_blocks_through_the_driver(spark):
+    docs = make(spark, [(i, " ".join(f"w{i}_{j}" for j in range(400)), f"s{i % 3}") for i in range(30)])
+    for words in (mixing.mixed(docs), mixing.mixed_texts(docs)):
+        assert words.collect()
+        joins = re.findall(r"(\w+Join) \[src#\d+, block#\d+L?\]", words._jdf.queryExecution().executedPlan().toString())
+        assert joins and set(joins) == {"SortMergeJoin"}
+
+
 def test_pipeline_over_an_empty_table_and_null_texts(spark):
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
     assert corpus_pipeline.quality_rules(spark, docs.limit(3).withColumn("text", F.lit(None).cast("string")), DATA).count() == 0

@@ -154,7 +154,8 @@ def taken_blocks(mix: Mix) -> DataFrame:
     times = mix.slots.groupBy("src", "block").agg(F.count("*").alias("times"))
     cover = mix.spans.withColumn("block", F.explode(F.expr("sequence(at div words, (at + size - 1) div words)")))
     cover = cover.withColumn("first", F.greatest(F.col("block") * F.col("words") - F.col("at"), F.lit(0).cast("long"))).withColumn("last", F.least((F.col("block") + 1) * F.col("words") - F.col("at"), F.col("size")))
-    return cover.join(times, ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
+    # a row for every block: Spark's estimate, from before slots are listed, may be small enough to gather and broadcast it through the driver
+    return cover.join(times.hint("merge"), ["src", "block"], "left").withColumn("times", F.coalesce("times", F.lit(0).cast("long")))
 
 
 def mixed(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
